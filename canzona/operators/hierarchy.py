@@ -11,11 +11,16 @@ own parent is a ring of one. Other columns of the input, whatever their names, a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canzona.session import HOT_ROWS, cut, hot_keys, replicated, salted, small
 
+#: Levels of the frontier that one job takes.
+LEVELS = 8
+
 
 def parent_map(edges: DataFrame) -> DataFrame:
     """node, parent: one row for each id in src or dst; parent is NULL at a root."""
@@ -30,25 +35,25 @@ def parent_map(edges: DataFrame) -> DataFrame:
 
 
 def _descend(start: DataFrame, children: DataFrame, hot: DataFrame, paths: bool) -> DataFrame:
-    """start and all that hangs below it, one level a join; children: node, parent, salt."""
-    spark = start.sparkSession
-    levels, frontier, rows = start, start, start.count()
-    pending = 0
-    while rows:
-        up = replicated(frontier.withColumnRenamed("node", "parent"), hot, "parent")
-        frontier = cut(
-            children.join(small(up, rows), ["parent", "salt"]).select(
-                "node", "root", (F.col("depth") + 1).alias("depth"), "below",
-                *([F.concat("path", F.array("node")).alias("path")] if paths else []),
+    """start and all that hangs below it, one join a level; children: node, parent, salt.
+
+    LEVELS joins share one job, in which the shuffles of the children and of each frontier are made once and reused.
+    """
+    reached, frontier = [start], start
+    while True:
+        batch = []
+        for _ in range(LEVELS):
+            up = replicated(frontier.select(F.col("node").alias("parent"), "root", "depth", *(["path"] if paths else [])), hot, "parent")
+            frontier = children.join(up, ["parent", "salt"]).select(
+                "node", "root", (F.col("depth") + 1).alias("depth"), *([F.concat("path", F.array("node")).alias("path")] if paths else [])
             )
-        )
-        rows = frontier.count()
-        if rows:
-            levels = levels.unionByName(frontier)
-            pending += 1
-            if pending % 16 == 0:  # keeps the plan of the union flat
-                levels = cut(levels.coalesce(max(8, spark.sparkContext.defaultParallelism)))
-    return levels
+            batch.append(frontier)
+        done = cut(reduce(DataFrame.unionByName, batch))
+        reached.append(done)
+        low = done.agg(F.max("depth")).first()[0]
+        frontier = done.filter(F.col("depth") == low)
+        if low is None or low < LEVELS * (len(reached) - 1):
+            return reduce(DataFrame.unionByName, reached)
 
 
 def _rings(unreached: DataFrame) -> DataFrame:
@@ -81,13 +86,13 @@ def hierarchy(edges: DataFrame, paths: bool = False, hot_rows: int = HOT_ROWS) -
     hot = cut(hot_keys(links, "parent", hot_rows))
     children = cut(salted(links, small(hot, hot.count()), "parent", F.col("node")))
     first = [F.array("node").alias("path")] if paths else []
-    roots = nodes.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(False).alias("below"), *first)
+    roots = nodes.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *first)
     trees = cut(_descend(roots, children, hot, paths))
     unreached = cut(links.join(trees.select("node"), "node", "left_anti"))
     placed = trees.withColumn("status", F.lit("tree"))
     if unreached.limit(1).count():
         rings = cut(_rings(unreached))
-        ring_start = rings.select("node", "root", F.lit(0).alias("depth"), F.lit(True).alias("below"), *first)
+        ring_start = rings.select("node", "root", F.lit(0).alias("depth"), *first)
         outside = children.join(rings.select("node"), "node", "left_anti")
         under = _descend(ring_start, cut(outside), hot, paths)
         placed = placed.unionByName(under.withColumn("status", F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle")))
