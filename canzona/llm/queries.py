@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canzona.llm import formdup, termcount
+from canzona.llm import formdup, neardup, spans, termcount
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,7 +40,28 @@ def p7_kept(s: SparkSession, d: str) -> DataFrame:
     return groups.unionByName(loose)
 
 
-QUERIES = {"p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(s, d, "works"), "doc_id", "pitches")
+
+
+def p2_groups(s: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(table(s, d, "works"), "doc_id", "pitches")
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(s, d, "works"), "doc_id", "pitches")
+
+
+def p4_shared(s: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(s, d, "works"), "doc_id", "pitches")
+
+
+def p4_places(s: SparkSession, d: str) -> DataFrame:
+    places = table(s, d, "postings").join(table(s, d, "figures").select("figure_id", "n"), "figure_id").select("doc_id", "first_pos", "n")
+    return spans.places_in_stretches(spans.shared_stretches(table(s, d, "works"), "doc_id", "pitches"), places)
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
@@ -57,7 +78,20 @@ _KEYS = f"""WITH k AS (SELECT DISTINCT doc_id, {_FOLD.format('ext_id')} AS e,
     lambda w: {_FOLD.format('w')}), lambda w: w <> '')), ' ') AS words FROM works),
 g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY e, words) AS kept, count(*) OVER (PARTITION BY e, words) AS copies FROM k WHERE e <> '')
 """
+_SEQS = "WITH w AS (SELECT doc_id, max(pitches) AS p FROM works WHERE pitches IS NOT NULL GROUP BY 1),\n"
+_RUNS = _SEQS + """s AS (SELECT DISTINCT doc_id, p[i:i+4] AS g FROM (SELECT doc_id, p, unnest(range(1, len(p) - 3)) AS i FROM w WHERE len(p) >= 16)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2 * k >= x.c + y.c - k)
+"""
+_SPANS = _SEQS + """k AS (SELECT doc_id, i - 1 AS pos, p[i:i+23] AS g, len(p) AS tokens FROM (SELECT doc_id, p, unnest(range(1, len(p) - 22)) AS i FROM w WHERE len(p) >= 24)),
+r AS (SELECT g FROM k GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+cov AS (SELECT doc_id, any_value(tokens) AS tokens, count(DISTINCT c) AS shared_tokens FROM (SELECT doc_id, tokens, unnest(range(pos, pos + 24)) AS c FROM k JOIN r USING (g)) GROUP BY 1)
+"""
 SQL = {
+    "p2_found": _RUNS + "SELECT a AS doc_id_a, b AS doc_id_b FROM pairs",
+    "p4_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id",
+    "p4_shared": _SPANS + "SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, shared_tokens, round(shared_tokens / tokens, 6) AS share FROM cov",
     "p5_found": _TERMS + "SELECT stratum, term, mark FROM r WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT * FROM r",
     "p7_found": _KEYS + "SELECT kept AS doc_id_kept, doc_id AS doc_id_copy FROM g WHERE doc_id <> kept",
