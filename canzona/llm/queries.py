@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canzona.llm import formdup, neardup, packing, spans, termcount
+from canzona.llm import formdup, neardup, packing, quality, spans, termcount
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -69,7 +69,19 @@ def p8_fill(s: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_assign(s, d))
 
 
-QUERIES = {"p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    return quality.page_quality(table(s, d, "documents"), "doc_id", "text", quality.common_words(table(s, d, "common_words")))
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return _quality(s, d).filter("junk_probability >= 0.5").select(F.col("rec").alias("doc_id"))
+
+
+def p10_statistics(s: SparkSession, d: str) -> DataFrame:
+    return _quality(s, d).withColumnRenamed("rec", "doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
