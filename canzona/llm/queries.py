@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canzona.llm import formdup, neardup, packing, quality, spans, termcount
+from canzona.llm import formdup, leakage, neardup, packing, quality, spans, termcount
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -81,7 +81,17 @@ def p10_statistics(s: SparkSession, d: str) -> DataFrame:
     return _quality(s, d).withColumnRenamed("rec", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(s, d, "documents"), table(s, d, "heldout"))
+
+
+def p9_items(s: SparkSession, d: str) -> DataFrame:
+    """For every held-out item, the number of pages that leak it."""
+    pages = p9_found(s, d).groupBy("item_id").agg(F.count("*").alias("pages"))
+    return table(s, d, "heldout").select("item_id", "suite").join(pages, "item_id", "left").fillna(0, ["pages"])
+
+
+QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
