@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canzona.llm import formdup, leakage, neardup, packing, quality, spans, termcount
+from canzona.llm import formdup, leakage, names, neardup, packing, quality, spans, termcount
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -91,7 +91,21 @@ def p9_items(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "heldout").select("item_id", "suite").join(pages, "item_id", "left").fillna(0, ["pages"])
 
 
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+def _named(s: SparkSession, d: str) -> DataFrame:
+    return names.named(names.mentions(table(s, d, "works"), table(s, d, "edges")), table(s, d, "artists"))
+
+
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return _named(s, d).select("field", "rec", "artist_id").distinct()
+
+
+def p1_spellings(s: SparkSession, d: str) -> DataFrame:
+    """Every star: the known name, each of its spellings and how often it was typed."""
+    found = _named(s, d).groupBy("artist_id", "value", "score").agg(F.count("*").alias("rows"))
+    return found.join(table(s, d, "artists").select("artist_id", "name"), "artist_id").select("artist_id", "name", F.col("value").alias("spelling"), F.round("score", 6).alias("score"), "rows")
+
+
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
