@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from canzona.plans import integrity
+from canzona.plans import figures, integrity
 
-MODULES = [integrity]
+MODULES = [figures, integrity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
