@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -46,13 +47,40 @@ _SAME = str.maketrans(
 )
 
 
+_PUNCTUATION = str.maketrans(dict.fromkeys("—–‐‑’‘“”„•□■…―", " ") | {"ſ": "s"})
+
+
+def _table(fold: bool) -> bytes:
+    """Of each Latin-1 character its small letter, or, folded, its canonical character and a space for what is in no word."""
+    out = bytearray()
+    for k in range(256):
+        c = chr(k) if k == 0xB5 else chr(k).lower()
+        if fold:
+            c = c.translate(_SAME) if c.isalnum() else c if c == "\n" else " "
+        out += c.encode("latin-1")
+    return bytes(out)
+
+
+_LOWER, _FOLDED = _table(False), _table(True)
+
+
 def canonical(text: str) -> str:
-    """text in small letters, with characters and pairs that scans confuse made one."""
-    return text.lower().replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ii", "u").translate(_SAME)
+    """text in small letters, with characters and pairs that scans confuse made one, and spaces for what is in no word."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        text = text.translate(_PUNCTUATION)
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            plain = text.lower().replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ii", "u").translate(_SAME)
+            return "\n".join(" ".join(_TOKEN.findall(part)) for part in plain.split("\n"))
+    raw = raw.translate(_LOWER).replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d").replace(b"ii", b"u")
+    return raw.translate(_FOLDED).decode("latin-1")
 
 
 def passage_words(text: str | None) -> list[str]:
-    return _TOKEN.findall(canonical(text or ""))
+    return canonical(text or "").split()
 
 
 class Page:
@@ -61,7 +89,7 @@ class Page:
     def __init__(self, text: str) -> None:
         self.words, self.line, self.first, self.last = [], [], [], []
         for k, part in enumerate(canonical(text).split("\n")):
-            w = _TOKEN.findall(part)
+            w = part.split()
             self.words += w
             self.line += [k] * len(w)
             self.first += range(len(w))
@@ -139,8 +167,8 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int) -
 
 def _ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
     """The vocabulary's ids of the words of a text, -1 for others."""
-    words = _TOKEN.findall(canonical(_BROKEN.sub("", text or "")))
-    return np.fromiter((vocabulary.get(w, -1) for w in words), np.int32, len(words))
+    words = canonical(_BROKEN.sub("", text or "")).split()
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
 
 def _windows(pages: list[np.ndarray], width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
