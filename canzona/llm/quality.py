@@ -165,10 +165,14 @@ def weak_label(c=F.col):
 
 def trained(stats: DataFrame, train_rows: int = TRAIN_ROWS):
     """(model, a, b), or None if one kind is absent."""
-    labelled = stats.withColumn("junk", weak_label()).filter("junk is not null and words > 0")
+    u = F.pmod(F.xxhash64("rec"), F.lit(1 << 40)) / float(1 << 40)
+    labelled = stats.withColumn("junk", weak_label()).filter("junk is not null and words > 0").withColumn("u", u)
+    counts = {r["junk"]: r["count"] for r in labelled.groupBy("junk").count().collect()}
     rows = []
-    for kind in (0, 1):
-        rows += labelled.filter(F.col("junk") == kind).orderBy(F.xxhash64("rec"), "rec").limit(train_rows).select(*STATS, "junk").collect()
+    for kind, n in sorted(counts.items()):
+        # the smallest hashes; of many rows only a thin slice is sorted
+        some = labelled.filter((F.col("junk") == kind) & (F.col("u") <= min(1.0, 2 * train_rows / n + 1e-4)))
+        rows += some.orderBy("u", "rec").limit(train_rows).select(*STATS, "junk").collect()
     data = np.array(rows, dtype=float).reshape(len(rows), len(STATS) + 1)
     y = data[:, -1]
     if not len(y) or y.min() == y.max():
