@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from canzona.plans import figures, inquiry, integrity
+from canzona.plans import figures, inquiry, integrity, sound
 
-MODULES = [figures, inquiry, integrity]
+MODULES = [figures, inquiry, integrity, sound]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
