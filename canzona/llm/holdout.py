@@ -2,7 +2,7 @@
 
 CHECKED = [
     [350, 5.9971, 0.0351, 0.0041, 0.1837, 0.4, 0.7653, 0.7143, 0.0306, 0.6122, 0.3657, 0.0857, 24.9796, 0, 0.1122, 0.6371, 0],
-    [433, 6.0023, 0.03, 0.0003, 0.0813, 0.4527, 0.9106, 0.7967, 0, 0.7724, 0.2979, 0.1247, 24.3902, 0, 0.0732, 0.5473, 0],
+    [433, 6.0023, 0.03, 0.0003, 0.0813, 0.4527, 0.9106, 0.7967, 0, 0.7724, 0.2979, 0.1247, 24.3902, 0, 0.0732, 0.5925, 0],
     [37, 6.2703, 0.0333, 0, 0.125, 0.4054, 0.875, 0.75, 0, 0.75, 0.3243, 0.0811, 33.75, 0, 0.125, 0.9459, 0],
     [58, 4.5517, 0.0424, 0.0242, 0.3333, 0.3793, 0.6, 0.6, 0.2, 0.5333, 0.2241, 0.1724, 22, 0, 0.2667, 0.7931, 0],
     [261, 6.3908, 0.0217, 0, 0.0988, 0.4176, 0.7901, 0.6173, 0, 0.5679, 0.3716, 0.0881, 23.321, 0, 0.0741, 0.6398, 0],
@@ -12,7 +12,7 @@ CHECKED = [
     [154, 5.8831, 0.0388, 0.0019, 0.0698, 0.3571, 0.8605, 0.7907, 0, 0.814, 0.3117, 0.1234, 24.6047, 0, 0.0465, 0.7922, 0],
     [73, 4.8356, 0.0324, 0.0069, 0.3333, 0.4658, 0.75, 0.6667, 0.0833, 0.5833, 0.1644, 0.1096, 36, 0, 0.25, 0.7397, 0],
     [133, 6.1654, 0.0427, 0.0021, 0.2308, 0.3684, 0.8718, 0.6923, 0.0256, 0.8205, 0.1128, 0.1353, 24.641, 0, 0.1282, 0.8045, 0],
-    [510, 4.3784, 0.0705, 0.0164, 0.2688, 0.3608, 0.6989, 0.7312, 0.1828, 0.6989, 0.1667, 0.2078, 31.3978, 0, 0.2258, 0.5118, 0],
+    [510, 4.3784, 0.0705, 0.0164, 0.2688, 0.3608, 0.6989, 0.7312, 0.1828, 0.6989, 0.1667, 0.2078, 31.3978, 0, 0.2258, 0.6525, 0],
     [31, 5.6452, 0.029, 0, 0.2, 0.4194, 0.8, 0.6, 0, 0.8, 0.3226, 0.0323, 41.4, 0, 0.2, 0.871, 0],
     [253, 6.3557, 0.0231, 0.0011, 0.0988, 0.4269, 0.8272, 0.7284, 0, 0.5802, 0.3715, 0.0909, 22.4938, 0, 0.0741, 0.6798, 0],
     [200, 5.75, 0.0368, 0.0059, 0.098, 0.395, 0.8039, 0.6863, 0.0392, 0.6471, 0.34, 0.12, 26.6667, 0, 0.0784, 0.73, 0],

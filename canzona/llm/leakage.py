@@ -270,8 +270,10 @@ def leaked(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str =
     n = counts.get(-1, 0)
     df = np.array([counts.get(k, 0) for k in range(len(vocabulary))], float)
     weight = np.where(df > COMMON * n, 0, np.log((n + 1) / (df + 1))).astype(np.float32) if n > 200 else np.log((n + 2) / (df + 1)).astype(np.float32)
-    omega = np.random.default_rng(7).normal(size=(len(vocabulary), min(RANK + EXTRA, len(vocabulary)))).astype(np.float32)
-    basis = latent_basis(_sketch(scanned.filter("id = -2").select("ids"), weight, omega), omega.astype(np.float64), RANK)
+    # whitening a space of nearly all words would blow up what is noise, so a small vocabulary gets a small rank
+    rank = min(RANK, max(len(vocabulary) // 8, 16))
+    omega = np.random.default_rng(7).normal(size=(len(vocabulary), min(rank + EXTRA, len(vocabulary)))).astype(np.float32)
+    basis = latent_basis(_sketch(scanned.filter("id = -2").select("ids"), weight, omega), omega.astype(np.float64), rank)
     names = sorted(passages)
     rows, ids, owner, _ = _windows([np.array([vocabulary[w] for w in passages[k]], np.int32) for k in names], SEGMENT, SEGMENT_STRIDE)
     queries = _project(*_weighted(rows, ids, len(vocabulary), weight), len(owner), basis)

@@ -4,7 +4,8 @@ The statistics of each text are taken in one pass over its lines. Lines that loo
 digits, mostly letters, no leader dots) weakly label the clear cases: prose where nearly all lines do, structural junk where
 nearly none do. Gradient-boosted trees learn from a bounded sample of these; their scores are calibrated (Platt) on the
 hand-checked pages of `holdout`, which were never used for training, and a text is no prose where the probability of junk
-reaches one half.
+reaches one half. Where the trees misjudge
+more than a fifth of the checked pages, the texts are of another kind and the scores stay uncalibrated.
 
 Defined cases: a NULL, empty or blank text has zero statistics and is junk. Lines of white space are not counted. Texts are
 read whole, however long. Rows repeated under one id give one row, of the largest text. A NULL id is no document. Without
@@ -72,7 +73,7 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     w = max(words, 1)
     return [
         float(words), letters / w, symbols / max(chars, 1), digits / max(chars, 1), ended / n, hits / w, running / n, with_common / n, with_digit / n, lower_start / n,
-        uppers / w, shorts / w, chars / n, 1 - len(set(lines)) / n, sentence / n, len(kinds) / w,
+        uppers / w, shorts / w, chars / n, 1 - len(set(lines)) / n, sentence / n, min(len(kinds) / min(w, 400), 1.0),
     ]
 
 
@@ -179,8 +180,11 @@ def trained(stats: DataFrame, train_rows: int = TRAIN_ROWS):
         return None
     model = Boosted().fit(data[:, :-1], y)
     held = np.array(CHECKED, dtype=float)
-    a, b = platt(model.score(held[:, :-1]), held[:, -1])
-    return model, a, b
+    score = model.score(held[:, :-1])
+    a, b = platt(score, held[:, -1])
+    # texts of another kind may teach what does not hold for the checked pages; their scores then stay as they are
+    fits = a > 0 and ((a * score + b >= 0) == (held[:, -1] > 0)).mean() >= 0.8
+    return (model, a, b) if fits else (model, 1.0, 0.0)
 
 
 def page_quality(texts: DataFrame, rec: str, text: str, common: frozenset[str], train_rows: int = TRAIN_ROWS) -> DataFrame:
