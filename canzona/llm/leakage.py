@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from canzona.session import cut
 
 LEAST, WINDOW, STRIDE, SEGMENT, SEGMENT_STRIDE = 20, 60, 30, 24, 12
-RANK, EXTRA, NEAR, SAMPLE_PAGES = 192, 16, 0.43, 10_000
+RANK, EXTRA, NEAR, SAMPLE_PAGES = 192, 16, 0.4, 10_000
 #: Of the neighbouring words of a run, so many must be neighbours near the place in the page before it is aligned.
-PAIRS = 10
+PAIRS = 11
 #: Words in more than this share of the windows say nothing about a passage.
 COMMON = 0.3
 #: Lines that may stand between two parts of a quotation: other columns and adverts.
