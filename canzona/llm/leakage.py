@@ -6,6 +6,10 @@ space, in which windows are compared as cosines of whitened vectors. Each page i
 query set, in blocks. What comes near is checked by alignment: the longest common run of passage words in page order, which
 may jump over foreign lines and pass broken, misread, joined or split words, but never a word of the passage.
 
+What does not come near, or has few neighbouring words, goes another way, which is exact: `Links` holds every pair of passage
+words between which the alignment can step, and a page is aligned whole with each passage through which the pairs it prints
+lead far enough. So the result is that of aligning every page with every passage, whatever the latent space says.
+
 Counts of words are taken over all windows of all pages. Only the basis of the latent space is fitted on a sample, of at
 most SAMPLE_PAGES pages chosen by hash of the id; every page is searched.
 
@@ -165,6 +169,187 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int) -
     return run
 
 
+def _letters(word: str) -> int:
+    """A bit for each letter of the word."""
+    out = 0
+    for c in set(word):
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+class Links:
+    """Finds the passages that a page may hold: no passage of which longest_run gives `enough` words in the page is left out."""
+
+    def __init__(self, passages: list[list[str]], vocabulary: dict[str, int], enough: int) -> None:
+        self.passages, self.vocabulary, self.enough, n = passages, vocabulary, enough, len(vocabulary) + 1
+        #: Places of all passages in one row, four free ones before each, which no step crosses.
+        sizes = np.array([len(w) + 4 for w in passages])
+        self.begin = np.cumsum(sizes) - sizes + 4
+        self.places = int(sizes.sum()) + 4
+        place_word = np.full(self.places, n - 1, np.int64)
+        for b, w in zip(self.begin, passages):
+            place_word[b : b + len(w)] = [vocabulary[x] for x in w]
+        # pairs of words with the places of the second one, by distance; the table says at which distances a pair occurs
+        keys, place, far = [], [], []
+        for d in (1, 2, 3):
+            at = np.flatnonzero((place_word[d:] < n - 1) & (place_word[:-d] < n - 1)) + d
+            keys.append(place_word[at - d] * n + place_word[at])
+            place.append(at)
+            far.append(np.full(len(at), d))
+        keys, place, far = np.concatenate(keys), np.concatenate(place), np.concatenate(far)
+        order = np.lexsort((keys, far))
+        self.keys, self.place, self.n = (far * n * n + keys)[order], place[order], n
+        # beyond 16 million pairs of words they share entries, which lets more through but never less
+        self.room = min(n * n, 1 << 24)
+        self.between: dict[int, dict[int, str]] = {2: {}, 3: {}}
+        self.compared: dict[tuple[str, str], bool] = {}
+        # letters and length of the words between two places, for steps of two and three
+        mask, size = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
+        for b, w in zip(self.begin, passages):
+            mask[b : b + len(w)], size[b : b + len(w)] = [_letters(x) for x in w], [len(x) for x in w]
+        one, two = np.r_[mask[:1], mask[:-1]], np.r_[size[:1], size[:-1]]
+        far = far[order]
+        self.mask = np.stack([one * 0, one * 0, one, one | np.r_[one[:1], one[:-1]]])[far, self.place]
+        self.size = np.stack([two * 0, two * 0, two, two + np.r_[two[:1], two[:-1]]])[far, self.place].astype(np.int32)
+        self.table = np.zeros(self.room, np.uint8)
+        np.bitwise_or.at(self.table, keys % self.room, (1 << far).astype(np.uint8))
+
+    def likely(self, pages: list[Page]) -> list[list[int]]:
+        """Of each page the indices of passages that it may hold."""
+        words, line, first, last, owner, starts, rows = [], [], [], [], [], [], 0
+        for k, p in enumerate(pages):
+            rows += GAP_LINES + 1  # lines of two pages are never near
+            words += [self.vocabulary.get(w, -1) for w in p.words]
+            line.append(np.asarray(p.line, np.int64) + rows)
+            rows += (p.line[-1] if p.line else 0) + 1
+            first += p.first
+            last += p.last
+            owner.append(np.full(len(p.words), k))
+        if not words:
+            return [[] for _ in pages]
+        w, f, e = np.array(words, np.int64), np.array(first), np.array(last)
+        w[w < 0] = self.n - 1
+        line, owner = np.concatenate(line), np.concatenate(owner)
+        starts = np.searchsorted(line, np.arange(rows + 2 * GAP_LINES + 2))  # the first word of each line, or of the next that has one
+        known = w < self.n - 1
+        text = [x for p in pages for x in p.words]
+        mask, size = np.array([_letters(x) for x in text], np.uint64), np.array([len(x) for x in text], np.int32)
+        none, zero = np.zeros(1, np.uint64), np.zeros(1, np.int32)
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def pairs(a: np.ndarray, b: np.ndarray, distances: tuple[int, ...], letters: np.ndarray = none, length: np.ndarray = zero, over: bool = True) -> None:
+            """Word pairs that some passage has at one of the distances; letters and length: of the words skipped in the page."""
+            letters, length = np.broadcast_to(letters, a.shape), np.broadcast_to(length, a.shape)
+            key = w[a] * self.n + w[b]
+            bits = self.table[key if self.room == self.n * self.n else key % self.room]
+            for d in distances:
+                hit = np.flatnonzero(bits & (1 << d))
+                found.append((a[hit], b[hit], d * self.n * self.n + key[hit], letters[hit], length[hit], np.full(len(hit), over)))
+
+        def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each k all of lo[k] .. hi[k] - 1, with k."""
+            size = np.maximum(hi - lo, 0)
+            k = np.repeat(np.arange(len(size)), size)
+            return k, np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + lo[k]
+
+        for dt in (1, 2, 3, 4):
+            b = np.flatnonzero(known[dt:] & known[:-dt] & (owner[dt:] == owner[:-dt])) + dt
+            if dt == 1:
+                pairs(b - 1, b, (1,))
+            else:
+                between = [b - j for j in range(1, dt)]
+                pairs(b - dt, b, (2, 3), np.bitwise_or.reduce([mask[x] for x in between]), sum(size[x] for x in between), False)
+        head = np.flatnonzero(known & (f == 0))
+        k, a = ranges(starts[line[head] - GAP_LINES], starts[line[head]])
+        pairs(a, head[k], (1,))
+        tail = np.flatnonzero(known & (e == 0))
+        k, b = ranges(starts[line[tail] + 1], starts[line[tail] + GAP_LINES + 1])
+        pairs(tail[k], b, (1,))
+        near_end, near_start = np.flatnonzero(known & (e <= 2)), np.flatnonzero(known & (f <= 2))
+        ends = np.searchsorted(line[near_end], np.arange(rows + GAP_LINES + 1))
+        k, a = ranges(ends[line[near_start] - GAP_LINES], ends[line[near_start]])
+        a, b = near_end[a], near_start[k]
+        some = e[a] + f[b] > 0
+        a, b = a[some], b[some]
+        # words left on the line of the first one and before the second one on its line, two at most
+        rest = [(e[a] > j, np.minimum(a + 1 + j, len(w) - 1)) for j in (0, 1)] + [(f[b] > j, b - 1 - j) for j in (0, 1)]
+        pairs(a, b, (2, 3), np.bitwise_or.reduce([np.where(c, mask[x], np.uint64(0)) for c, x in rest]), sum(np.where(c, size[x], 0) for c, x in rest))
+        a, b, key, letters, length, jump = (np.concatenate(x) for x in zip(*found))
+        once, which = np.unique(key, return_inverse=True)
+        step, at = ranges(np.searchsorted(self.keys, once)[which], np.searchsorted(self.keys, once, "right")[which])
+        # words that are alike differ little in length and in few letters
+        n1, n2 = length[step], self.size[at]
+        most = np.maximum(n1, n2)
+        most = np.where(most > 1, np.maximum(1, most * 3 // 10), 0)
+        keep = np.flatnonzero(np.abs(n1 - n2) <= most)
+        step, at, most = step[keep], at[keep], most[keep]
+        m1, m2 = letters[step], self.mask[at]
+        keep = np.flatnonzero((np.bitwise_count(m1 & ~m2) <= most) & (np.bitwise_count(m2 & ~m1) <= most))
+        step, at = step[keep], at[keep]
+        place, d = self.place[at], (key // (self.n * self.n))[step]
+        linked = np.zeros((len(pages), self.places), bool)
+        linked[owner[b[step]], place] = True
+        # stretches of linked places, none more than three apart, of all but the first step of a run
+        some, row = np.nonzero(linked)
+        flat = some * (self.places + 4) + row
+        breaks = np.flatnonzero(np.diff(flat) > 3)
+        lo, hi = np.r_[0, breaks + 1][: len(flat)], np.r_[breaks, len(flat) - 1][: len(flat)]
+        long = np.flatnonzero(flat[hi] - flat[lo] >= self.enough - 4)
+        # of these stretches all steps from a word of the page and a place to another, in order of the place reached
+        bounds = np.zeros((len(pages), self.places + 1), np.int32)
+        np.add.at(bounds, (some[lo[long]], row[lo[long]]), 1)
+        np.add.at(bounds, (some[hi[long]], row[hi[long]] + 1), -1)
+        inside = np.cumsum(bounds, axis=1)[:, :-1] > 0
+        keep = inside[owner[b[step]], place]
+        step, place, d = step[keep], place[keep], d[keep]
+        for exact in (False, True):
+            if exact:
+                # what is left is compared as the alignment does
+                keep = np.fromiter((n == 1 or self._alike(text, x, y, j, e, f, p, n) for x, y, j, p, n in zip(a[step].tolist(), b[step].tolist(), jump[step].tolist(), place.tolist(), d.tolist())), bool, len(step))
+                step, place, d = step[keep], place[keep], d[keep]
+            to = b[step] * self.places + place
+            # a word that goes on from the one before it is reached in no other way
+            direct = (d == 1) & (b[step] - a[step] == 1)
+            keep = direct | ~np.isin(to, to[direct])
+            step, place, d, to = step[keep], place[keep], d[keep], to[keep]
+            passage = np.searchsorted(self.begin, place, "right") - 1
+            rank = place - self.begin[passage]
+            order = np.argsort(rank, kind="stable")
+            nodes, index = np.unique(np.concatenate([to, a[step] * self.places + place - d]), return_inverse=True)
+            into, back = index[: len(to)][order], index[len(to) :][order]
+            # of each word of the page at each place the farthest place back from which steps lead there
+            item = np.searchsorted(self.begin, nodes % self.places, "right") - 1
+            mine = nodes % self.places - self.begin[item]
+            reach = mine.copy()
+            level = np.searchsorted(rank[order], np.arange(rank.max(initial=0) + 2))
+            for lo_, hi_ in zip(level, level[1:]):
+                np.minimum.at(reach, into[lo_:hi_], reach[back[lo_:hi_]])
+            # and the farthest place ahead; steps on no way that is long enough fall out
+            ahead = mine.copy()
+            for lo_, hi_ in zip(level[-2::-1], level[:0:-1]):
+                np.maximum.at(ahead, back[lo_:hi_], ahead[into[lo_:hi_]])
+            far = np.flatnonzero(mine - reach + 1 >= self.enough)
+            good = np.zeros((len(pages), len(self.passages)), bool)
+            good[owner[nodes[far] // self.places], item[far]] = True
+            keep = order[ahead[into] - reach[back] + 1 >= self.enough]
+            step, place, d = step[keep], place[keep], d[keep]
+        return [np.flatnonzero(x).tolist() for x in good]
+
+    def _alike(self, text: list[str], a: int, b: int, jump: bool, e: np.ndarray, f: np.ndarray, place: int, d: int) -> bool:
+        mine = "".join(text[a + 1 : a + 1 + e[a]] + text[b - f[b] : b]) if jump else "".join(text[a + 1 : b])
+        theirs = self.between[d].get(place)
+        if theirs is None:
+            i = int(np.searchsorted(self.begin, place, "right")) - 1
+            p = place - int(self.begin[i])
+            theirs = self.between[d][place] = "".join(self.passages[i][p - d + 1 : p])
+        known = self.compared.get((mine, theirs))
+        if known is None:
+            if len(self.compared) > 500_000:
+                self.compared.clear()
+            known = self.compared[mine, theirs] = alike(mine, theirs)
+        return known
+
+
 def _ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
     """The vocabulary's ids of the words of a text, -1 for others."""
     words = canonical(_BROKEN.sub("", text or "")).split()
@@ -278,6 +463,7 @@ def leaked(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str =
     rows, ids, owner, _ = _windows([np.array([vocabulary[w] for w in passages[k]], np.int32) for k in names], SEGMENT, SEGMENT_STRIDE)
     queries = _project(*_weighted(rows, ids, len(vocabulary), weight), len(owner), basis)
     enough = least - SLACK
+    links = Links([passages[k] for k in names], vocabulary, enough)
     pairs = [np.array([vocabulary[a] * len(vocabulary) + vocabulary[b] for a, b in zip(passages[k], passages[k][1:])], np.int64) for k in names]
 
     def neighbours(ids: np.ndarray, item: int) -> int:
@@ -294,25 +480,30 @@ def leaked(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str =
                 texts = b["text"].tolist()
                 known = [_ids(t, vocabulary) for t in texts]
                 r, i, page, begin = _windows(known, WINDOW, STRIDE)
-                if not len(page):
-                    continue
-                latent = _project(*_weighted(r, i, len(vocabulary), weight), len(page), basis)
-                hit, seg = np.nonzero(latent @ queries.T >= near)
                 spans: dict[tuple[int, int], list[int]] = {}
-                for h, s in zip(hit.tolist(), seg.tolist()):
-                    spans.setdefault((int(page[h]), int(owner[s])), []).append(int(begin[h]))
-                read: dict[int, Page] = {}
-                for (k, item), begins in spans.items():
-                    if verify:
+                if len(page):
+                    latent = _project(*_weighted(r, i, len(vocabulary), weight), len(page), basis)
+                    hit, seg = np.nonzero(latent @ queries.T >= near)
+                    for h, s in zip(hit.tolist(), seg.tolist()):
+                        spans.setdefault((int(page[h]), int(owner[s])), []).append(int(begin[h]))
+                if not verify:
+                    found = set(spans)
+                else:
+                    read = [Page(t) for t in texts]
+                    found = set()
+                    for (k, item), begins in spans.items():
                         # the words of a quotation may lie far apart where columns alternate
                         if neighbours(known[k][max(min(begins) - 2 * WINDOW, 0) : max(begins) + 3 * WINDOW], item) < PAIRS * least // LEAST:
                             continue
-                        p = read.get(k) or read.setdefault(k, Page(texts[k]))
-                        lo_, hi_ = min(begins) - 2 * WINDOW, max(begins) + 4 * WINDOW
-                        if longest_run(p, passages[names[item]], max(lo_, 0), min(hi_, len(p.words)), enough) < enough:
-                            continue
-                    docs.append(b["doc_id"].iloc[k])
-                    items_.append(names[item])
+                        p, lo_, hi_ = read[k], min(begins) - 2 * WINDOW, max(begins) + 4 * WINDOW
+                        if longest_run(p, passages[names[item]], max(lo_, 0), min(hi_, len(p.words)), enough) >= enough:
+                            found.add((k, item))
+                    for k, likely in enumerate(links.likely(read)):
+                        for item in likely:
+                            if (k, item) not in found and longest_run(read[k], passages[names[item]], 0, len(read[k].words), enough) >= enough:
+                                found.add((k, item))
+                docs += [b["doc_id"].iloc[k] for k, _ in found]
+                items_ += [names[item] for _, item in found]
             yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "item_id": pd.Series(items_, dtype="int64")})
 
     return pages.mapInPandas(run, "doc_id long, item_id long").distinct()
