@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,3 +117,27 @@ def sequence_similarity(a: Column, b: Column) -> Column:
 
     last = F.aggregate(a, zero, line)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.element_at(last, -1) / F.greatest(F.size(a), F.size(b)))
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a bit a place of b; None equals nothing."""
+    where: dict = {}
+    for k, y in enumerate(b):
+        if y is not None:
+            where[y] = where.get(y, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    free = full
+    for x in a:
+        hit = free & where.get(x, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
+
+
+def long_similarity(a: Column, b: Column) -> Column:
+    """sequence_similarity for sequences of any length, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([common_subsequence(x, y) / max(len(x), len(y)) if len(x) and len(y) else 0.0 for x, y in ((list(p), list(q)) for p, q in zip(xs, ys))], dtype="float64")
+
+    return each(a, b)

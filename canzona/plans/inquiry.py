@@ -56,7 +56,8 @@ add("agg_diagnostics", f"WITH {_GAP} SELECT doc_id, count(*) AS n_notes, count(*
     lambda s, d: H.gaps(notes(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_notes"), F.count_if(P("gap") > H.REST).alias("wide_gaps"), F.count("gap").alias("gaps"), F.sort_array(F.collect_list("gap")).alias("l"))
     .select("doc_id", "n_notes", "wide_gaps", "gaps", F.round(F.get("l", F.floor(P("gaps") / 2).cast("int")), 6).alias("upper_median")))
 add("join_phrase_self")(lambda s, d: H.recurrences(H.melodic(H.sessions(notes(s, d)))))
-add("lcs_similarity")(lambda s, d: works(s, d).select("doc_id", F.slice("pitches", 1, 16).alias("a"), F.slice(F.reverse("pitches"), 1, 16).alias("b")).select("doc_id", F.round(E.sequence_similarity(E.intervals(P("a")), E.intervals(P("b"))), 6).alias("similarity")))
+# a work against its own reverse, both whole
+add("lcs_similarity")(lambda s, d: works(s, d).select("doc_id", F.round(E.long_similarity(E.intervals(P()), E.intervals(F.reverse("pitches"))), 6).alias("similarity")))
 add("agg_hook_score")(lambda s, d: H.hooks(H.sessions(notes(s, d))))
 add("topk_hooks")(lambda s, d: H.hooks(H.sessions(notes(s, d)), 4))
 add("stress_weights", f"WITH {N} SELECT doc_id, pos, CASE WHEN pos = max(pos) OVER (PARTITION BY doc_id) THEN 1.0 WHEN pos % 4 = 0 THEN 0.9 WHEN pos % 2 = 0 THEN 0.7 ELSE 0.4 END::DOUBLE AS weight FROM n")(
