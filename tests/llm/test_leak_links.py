@@ -40,3 +40,14 @@ def test_links_leave_out_no_alignment():
         want = {(k, i) for k, p in enumerate(pages) for i, w in enumerate(words) if leakage.longest_run(p, w, 0, len(p.words), enough) >= enough}
         assert len(want) > 5 and want <= {(k, i) for k, l in enumerate(likely) for i in l}
     assert leakage.Links(words, vocabulary, 5).likely([leakage.Page(""), leakage.Page("zz")]) == [[], []]
+
+
+def test_separate_misread_words_leave_few_neighbours(spark):
+    rng = random.Random(8)
+    words = _passages(rng)
+    run = words[4][20:40]
+    for k in (3, 6, 9, 12, 15):
+        run[k] = run[k][:1] + "w" + run[k][2:] if len(run[k]) > 3 else run[k][:-1] + "w"
+    df = spark.createDataFrame([(0, lines(prose(rng, 60) + run + prose(rng, 60)))], "doc_id bigint, text string")
+    held = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "item_id bigint, passage string")
+    assert {tuple(r) for r in leakage.leaked(df, held).collect()} == {(0, 4)}
