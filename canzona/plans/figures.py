@@ -305,7 +305,7 @@ _FLAG = "SELECT r.stratum, r.fkey, r.df, p2.m_works, r.earliest, r.percentile FR
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Every figure that recurs: N, M before the reference year, earliest date and rarity, by stratum."""
+    """Every five-note interval figure that recurs (one of the nine cells of FULL, as in its SQL twin): N, M before the reference year, earliest date and rarity, by stratum."""
     p = posted(s, d)
     figs_ = p.groupBy("stratum", "encoding", "n", "fkey").agg(F.count("*").alias("df"), F.count_if(I.predates(P("year"), REFERENCE_YEAR)).alias("m_works"), F.min("year").alias("earliest"))
     return I.rarity(figs_).filter("df > 1").select("stratum", "fkey", "df", "m_works", "earliest", "percentile")
