@@ -1,8 +1,8 @@
 """Near-duplicate sequences: all pairs whose sets of token runs are alike enough, and their groups.
 
-LSH forest: each of TREES trees sorts the records by its own order of min-hashes of their runs of SHINGLE tokens, and
-neighbours whose longest common prefix reaches the depth of their region are candidates. Depth is two hashes where a
-region holds at most REGION records; a fuller one goes deeper by BRANCHES further hashes at once, any of which may agree,
+LSH forest in the form of banding that splits again: each of TREES trees hashes min-hashes of the records' runs of SHINGLE
+tokens to regions, and all records of a region are candidates. Nothing is sorted and no prefixes are compared. Depth is two
+hashes where a region holds at most REGION records; a fuller one goes deeper by BRANCHES further hashes at once, any of which may agree,
 so that its records meet again in smaller regions; each tree has such hashes of its own. Candidates are checked exactly. A region still full at the last depth
 is compared whole: nothing is dropped. Exact copies are one record until the end.
 
