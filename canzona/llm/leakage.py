@@ -1,17 +1,15 @@
 """Evaluation passages that appear, whole or in part, in a corpus of pages.
 
-Latent semantic retrieval: pages and passages are cut into overlapping windows of words, weighted by TF-IDF over the words
-of the passages; a distributed randomised SVD (a Gaussian sketch summed over the windows, then Nystroem) gives a latent
-space, in which windows are compared as cosines of whitened vectors. Each page is searched against all passages, a stated
-query set, in blocks. What comes near is checked by alignment: the longest common run of passage words in page order, which
-may jump over foreign lines and pass broken, misread, joined or split words, but never a word of the passage.
+Latent semantic retrieval: the terms are the words of the passages and their pairs of neighbours, weighted by TF-IDF whose
+document frequencies count the blocks of all pages. A distributed randomised SVD of the passages' segments (a Gaussian sketch
+summed over the executors, then Nystroem) gives the latent space. Each window of a page, two neighbouring blocks of words, is
+compared with all segments by the cosine there; what comes near is compared again by the terms themselves. Every candidate page
+is then aligned whole with the passage: the longest common run of passage words in page order, which may jump over foreign lines
+and pass broken, misread, joined or split words, but never a word of the passage. Paraphrases (`paraphrased`) are checked by
+their longest common subsequence with the passage and by the answer to the question.
 
-What does not come near, or has few neighbouring words, goes another way, which is exact: `Links` holds every pair of passage
-words between which the alignment can step, and a page is aligned whole with each passage through which the pairs it prints
-lead far enough. So the result is that of aligning every page with every passage, whatever the latent space says.
-
-Counts of words are taken over all windows of all pages. Only the basis of the latent space is fitted on a sample, of at
-most SAMPLE_PAGES pages chosen by hash of the id; every page is searched.
+The passages are a stated query set; they are searched in blocks of about ITEM_BLOCK, so that what each executor holds is
+bounded. The basis is fitted on all segments of a block, no sample is taken; every window of every page is searched.
 
 Characters that scans confuse are one character here (`canonical`), in pages and passages alike.
 
@@ -23,22 +21,27 @@ Empty tables give no rows. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canzona.session import cut
-
-LEAST, WINDOW, STRIDE, SEGMENT, SEGMENT_STRIDE = 20, 60, 30, 24, 12
-RANK, EXTRA, NEAR, SAMPLE_PAGES = 192, 16, 0.4, 10_000
-#: Of the neighbouring words of a run, so many must be neighbours near the place in the page before it is aligned.
-PAIRS = 11
-#: Words in more than this share of the windows say nothing about a passage.
-COMMON = 0.3
+LEAST, BLOCK, SEGMENT, SEGMENT_STRIDE = 20, 30, 24, 12
+#: Passages searched at once; more are searched block by block. Partial sums of the sketch.
+ITEM_BLOCK, SKETCHES = 400, 3
+RANK, EXTRA = 512, 16
+#: The cosine in the latent space from which a window is a candidate, and the least overlap in the terms themselves.
+NEAR, OVERLAP = 0.4, 0.26
+#: The least part of a window's length that counts as its length in the latent space.
+GUARD = 0.35
+#: Terms in more than this share of the blocks, and this number besides, say nothing about a passage.
+COMMON, COMMON_LEAST = 0.0125, 20
+#: Part of a passage's words that a paraphrase keeps in order.
+LCS_SHARE = 0.6
 #: Lines that may stand between two parts of a quotation: other columns and adverts.
 GAP_LINES = 8
 #: A run may miss so many words at its ends, where a misread word cannot be told from the next one of the page.
@@ -100,6 +103,16 @@ class Page:
             self.last += range(len(w) - 1, -1, -1)
 
 
+@lru_cache(1 << 17)
+def _letters(word: str) -> int:
+    """A bit for each letter of the word."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(1 << 18)
 def alike(a: str, b: str) -> bool:
     """Within an edit distance of three tenths of the longer string, one at least from two characters on."""
     if a == b:
@@ -108,12 +121,23 @@ def alike(a: str, b: str) -> bool:
     most = max(1, n * 3 // 10) if n > 1 else 0
     if abs(len(a) - len(b)) > most:
         return False
+    # each edit takes away one letter and brings another at most
+    m1, m2 = _letters(a), _letters(b)
+    if (m1 & ~m2).bit_count() > most or (m2 & ~m1).bit_count() > most:
+        return False
     above = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
+        least = i
         for j, y in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        if min(row) > most:
+            d = above[j - 1]
+            if x != y:
+                e, g = above[j], row[-1]
+                d = (d if d <= e and d <= g else e if e <= g else g) + 1
+            row.append(d)
+            if d < least:
+                least = d
+        if least > most:
             return False
         above = row
     return above[-1] <= most
@@ -123,26 +147,37 @@ def alike(a: str, b: str) -> bool:
 _STEPS = [(2, 2), (2, 3), (3, 2), (3, 3), (2, 4), (3, 4)]
 
 
-def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int) -> int:
-    """Words of the longest run of the passage in the page's words lo..hi; stops at `enough`."""
+def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int, shorter: bool = True) -> int:
+    """Words of the longest run of the passage in the page's words lo..hi; stops at `enough`; without `shorter`, runs that cannot reach it count 0."""
     words, line, first, last = page.words, page.line, page.first, page.last
     where: dict[str, list[int]] = {}
-    for k, w in enumerate(passage):
-        where.setdefault(w, []).append(k)
+    # a step passes two words of the passage at most, so words in no such chain of the page's words start or carry no run
+    here = set(words[lo:hi])
+    chain: list[int] = []
+    for k in [*(k for k, w in enumerate(passage) if w in here), len(passage) + 9]:
+        if chain and k - chain[-1] > 3:
+            if shorter or chain[-1] - chain[0] + 1 >= enough:
+                for j in chain:
+                    where.setdefault(passage[j], []).append(j)
+            chain = []
+        chain.append(k)
+    if not where:
+        return 0
+    wide = len(passage) + 4
     ends: list[list] = [[] for _ in passage]  # where runs reached each passage word near a line's end: (page word, (score, start))
     inner: list[list] = [[] for _ in passage]  # and elsewhere
-    cells: dict[tuple[int, int], tuple[float, int]] = {}
+    cells: dict[int, tuple[float, int]] = {}  # by page word x wide + passage word
     top = 0.0
     run = 0
     for t in range(lo, hi):
         for p in where.get(words[t], ()):
             best = (1.0, p)
-            before = cells.get((t - 1, p - 1))
+            before = cells.get((t - 1) * wide + p - 1) if p else None
             if before:
                 best = (before[0] + 1, before[1])
             else:
                 for dp, dt in _STEPS:
-                    c = cells.get((t - dt, p - dp))
+                    c = cells.get((t - dt) * wide + p - dp) if p >= dp else None
                     if c and c[0] + dp - 0.1 > best[0] and alike("".join(words[t - dt + 1 : t]), "".join(passage[p - dp + 1 : p])):
                         best = (c[0] + dp - 0.1, c[1])
                 f, at = first[t], line[t]
@@ -160,7 +195,7 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int) -
                                 continue
                             if (f == 0 or e == 0) if dp == 1 else (f + e > 0 and alike("".join(words[t2 + 1 : t2 + 1 + e]) + "".join(words[t - f : t]), "".join(passage[p - dp + 1 : p]))):
                                 best = (score, c[1])
-            cells[t, p] = best
+            cells[t * wide + p] = best
             (ends if last[t] <= 2 else inner)[p].append((t, best))
             if best[0] > top:
                 top, run = best[0], p - best[1] + 1
@@ -169,341 +204,246 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int) -
     return run
 
 
-def _letters(word: str) -> int:
-    """A bit for each letter of the word."""
-    out = 0
-    for c in set(word):
-        out |= 1 << (ord(c) & 63)
-    return out
-
-
-class Links:
-    """Finds the passages that a page may hold: no passage of which longest_run gives `enough` words in the page is left out."""
-
-    def __init__(self, passages: list[list[str]], vocabulary: dict[str, int], enough: int) -> None:
-        self.passages, self.vocabulary, self.enough, n = passages, vocabulary, enough, len(vocabulary) + 1
-        #: Places of all passages in one row, four free ones before each, which no step crosses.
-        sizes = np.array([len(w) + 4 for w in passages])
-        self.begin = np.cumsum(sizes) - sizes + 4
-        self.places = int(sizes.sum()) + 4
-        place_word = np.full(self.places, n - 1, np.int64)
-        for b, w in zip(self.begin, passages):
-            place_word[b : b + len(w)] = [vocabulary[x] for x in w]
-        # pairs of words with the places of the second one, by distance; the table says at which distances a pair occurs
-        keys, place, far = [], [], []
-        for d in (1, 2, 3):
-            at = np.flatnonzero((place_word[d:] < n - 1) & (place_word[:-d] < n - 1)) + d
-            keys.append(place_word[at - d] * n + place_word[at])
-            place.append(at)
-            far.append(np.full(len(at), d))
-        keys, place, far = np.concatenate(keys), np.concatenate(place), np.concatenate(far)
-        order = np.lexsort((keys, far))
-        self.keys, self.place, self.n = (far * n * n + keys)[order], place[order], n
-        # beyond 16 million pairs of words they share entries, which lets more through but never less
-        self.room = min(n * n, 1 << 24)
-        self.between: dict[int, dict[int, str]] = {2: {}, 3: {}}
-        self.compared: dict[tuple[str, str], bool] = {}
-        # letters and length of the words between two places, for steps of two and three
-        mask, size = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int64)
-        for b, w in zip(self.begin, passages):
-            mask[b : b + len(w)], size[b : b + len(w)] = [_letters(x) for x in w], [len(x) for x in w]
-        one, two = np.r_[mask[:1], mask[:-1]], np.r_[size[:1], size[:-1]]
-        far = far[order]
-        self.mask = np.stack([one * 0, one * 0, one, one | np.r_[one[:1], one[:-1]]])[far, self.place]
-        self.size = np.stack([two * 0, two * 0, two, two + np.r_[two[:1], two[:-1]]])[far, self.place].astype(np.int32)
-        self.table = np.zeros(self.room, np.uint8)
-        np.bitwise_or.at(self.table, keys % self.room, (1 << far).astype(np.uint8))
-
-    def likely(self, pages: list[Page]) -> list[list[int]]:
-        """Of each page the indices of passages that it may hold."""
-        words, line, first, last, owner, starts, rows = [], [], [], [], [], [], 0
-        for k, p in enumerate(pages):
-            rows += GAP_LINES + 1  # lines of two pages are never near
-            words += [self.vocabulary.get(w, -1) for w in p.words]
-            line.append(np.asarray(p.line, np.int64) + rows)
-            rows += (p.line[-1] if p.line else 0) + 1
-            first += p.first
-            last += p.last
-            owner.append(np.full(len(p.words), k))
-        if not words:
-            return [[] for _ in pages]
-        w, f, e = np.array(words, np.int64), np.array(first), np.array(last)
-        w[w < 0] = self.n - 1
-        line, owner = np.concatenate(line), np.concatenate(owner)
-        starts = np.searchsorted(line, np.arange(rows + 2 * GAP_LINES + 2))  # the first word of each line, or of the next that has one
-        known = w < self.n - 1
-        text = [x for p in pages for x in p.words]
-        mask, size = np.array([_letters(x) for x in text], np.uint64), np.array([len(x) for x in text], np.int32)
-        none, zero = np.zeros(1, np.uint64), np.zeros(1, np.int32)
-        found: list[tuple[np.ndarray, ...]] = []
-
-        def pairs(a: np.ndarray, b: np.ndarray, distances: tuple[int, ...], letters: np.ndarray = none, length: np.ndarray = zero, over: bool = True) -> None:
-            """Word pairs that some passage has at one of the distances; letters and length: of the words skipped in the page."""
-            letters, length = np.broadcast_to(letters, a.shape), np.broadcast_to(length, a.shape)
-            key = w[a] * self.n + w[b]
-            bits = self.table[key if self.room == self.n * self.n else key % self.room]
-            for d in distances:
-                hit = np.flatnonzero(bits & (1 << d))
-                found.append((a[hit], b[hit], d * self.n * self.n + key[hit], letters[hit], length[hit], np.full(len(hit), over)))
-
-        def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """For each k all of lo[k] .. hi[k] - 1, with k."""
-            size = np.maximum(hi - lo, 0)
-            k = np.repeat(np.arange(len(size)), size)
-            return k, np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + lo[k]
-
-        for dt in (1, 2, 3, 4):
-            b = np.flatnonzero(known[dt:] & known[:-dt] & (owner[dt:] == owner[:-dt])) + dt
-            if dt == 1:
-                pairs(b - 1, b, (1,))
-            else:
-                between = [b - j for j in range(1, dt)]
-                pairs(b - dt, b, (2, 3), np.bitwise_or.reduce([mask[x] for x in between]), sum(size[x] for x in between), False)
-        head = np.flatnonzero(known & (f == 0))
-        k, a = ranges(starts[line[head] - GAP_LINES], starts[line[head]])
-        pairs(a, head[k], (1,))
-        tail = np.flatnonzero(known & (e == 0))
-        k, b = ranges(starts[line[tail] + 1], starts[line[tail] + GAP_LINES + 1])
-        pairs(tail[k], b, (1,))
-        near_end, near_start = np.flatnonzero(known & (e <= 2)), np.flatnonzero(known & (f <= 2))
-        ends = np.searchsorted(line[near_end], np.arange(rows + GAP_LINES + 1))
-        k, a = ranges(ends[line[near_start] - GAP_LINES], ends[line[near_start]])
-        a, b = near_end[a], near_start[k]
-        some = e[a] + f[b] > 0
-        a, b = a[some], b[some]
-        # words left on the line of the first one and before the second one on its line, two at most
-        rest = [(e[a] > j, np.minimum(a + 1 + j, len(w) - 1)) for j in (0, 1)] + [(f[b] > j, b - 1 - j) for j in (0, 1)]
-        pairs(a, b, (2, 3), np.bitwise_or.reduce([np.where(c, mask[x], np.uint64(0)) for c, x in rest]), sum(np.where(c, size[x], 0) for c, x in rest))
-        a, b, key, letters, length, jump = (np.concatenate(x) for x in zip(*found))
-        once, which = np.unique(key, return_inverse=True)
-        step, at = ranges(np.searchsorted(self.keys, once)[which], np.searchsorted(self.keys, once, "right")[which])
-        # words that are alike differ little in length and in few letters
-        n1, n2 = length[step], self.size[at]
-        most = np.maximum(n1, n2)
-        most = np.where(most > 1, np.maximum(1, most * 3 // 10), 0)
-        keep = np.flatnonzero(np.abs(n1 - n2) <= most)
-        step, at, most = step[keep], at[keep], most[keep]
-        m1, m2 = letters[step], self.mask[at]
-        keep = np.flatnonzero((np.bitwise_count(m1 & ~m2) <= most) & (np.bitwise_count(m2 & ~m1) <= most))
-        step, at = step[keep], at[keep]
-        place, d = self.place[at], (key // (self.n * self.n))[step]
-        linked = np.zeros((len(pages), self.places), bool)
-        linked[owner[b[step]], place] = True
-        # stretches of linked places, none more than three apart, of all but the first step of a run
-        some, row = np.nonzero(linked)
-        flat = some * (self.places + 4) + row
-        breaks = np.flatnonzero(np.diff(flat) > 3)
-        lo, hi = np.r_[0, breaks + 1][: len(flat)], np.r_[breaks, len(flat) - 1][: len(flat)]
-        long = np.flatnonzero(flat[hi] - flat[lo] >= self.enough - 4)
-        # of these stretches all steps from a word of the page and a place to another, in order of the place reached
-        bounds = np.zeros((len(pages), self.places + 1), np.int32)
-        np.add.at(bounds, (some[lo[long]], row[lo[long]]), 1)
-        np.add.at(bounds, (some[hi[long]], row[hi[long]] + 1), -1)
-        inside = np.cumsum(bounds, axis=1)[:, :-1] > 0
-        keep = inside[owner[b[step]], place]
-        step, place, d = step[keep], place[keep], d[keep]
-        for exact in (False, True):
-            if exact:
-                # what is left is compared as the alignment does
-                keep = np.fromiter((n == 1 or self._alike(text, x, y, j, e, f, p, n) for x, y, j, p, n in zip(a[step].tolist(), b[step].tolist(), jump[step].tolist(), place.tolist(), d.tolist())), bool, len(step))
-                step, place, d = step[keep], place[keep], d[keep]
-            to = b[step] * self.places + place
-            # a word that goes on from the one before it is reached in no other way
-            direct = (d == 1) & (b[step] - a[step] == 1)
-            keep = direct | ~np.isin(to, to[direct])
-            step, place, d, to = step[keep], place[keep], d[keep], to[keep]
-            passage = np.searchsorted(self.begin, place, "right") - 1
-            rank = place - self.begin[passage]
-            order = np.argsort(rank, kind="stable")
-            nodes, index = np.unique(np.concatenate([to, a[step] * self.places + place - d]), return_inverse=True)
-            into, back = index[: len(to)][order], index[len(to) :][order]
-            # of each word of the page at each place the farthest place back from which steps lead there
-            item = np.searchsorted(self.begin, nodes % self.places, "right") - 1
-            mine = nodes % self.places - self.begin[item]
-            reach = mine.copy()
-            level = np.searchsorted(rank[order], np.arange(rank.max(initial=0) + 2))
-            for lo_, hi_ in zip(level, level[1:]):
-                np.minimum.at(reach, into[lo_:hi_], reach[back[lo_:hi_]])
-            # and the farthest place ahead; steps on no way that is long enough fall out
-            ahead = mine.copy()
-            for lo_, hi_ in zip(level[-2::-1], level[:0:-1]):
-                np.maximum.at(ahead, back[lo_:hi_], ahead[into[lo_:hi_]])
-            far = np.flatnonzero(mine - reach + 1 >= self.enough)
-            good = np.zeros((len(pages), len(self.passages)), bool)
-            good[owner[nodes[far] // self.places], item[far]] = True
-            keep = order[ahead[into] - reach[back] + 1 >= self.enough]
-            step, place, d = step[keep], place[keep], d[keep]
-        return [np.flatnonzero(x).tolist() for x in good]
-
-    def _alike(self, text: list[str], a: int, b: int, jump: bool, e: np.ndarray, f: np.ndarray, place: int, d: int) -> bool:
-        mine = "".join(text[a + 1 : a + 1 + e[a]] + text[b - f[b] : b]) if jump else "".join(text[a + 1 : b])
-        theirs = self.between[d].get(place)
-        if theirs is None:
-            i = int(np.searchsorted(self.begin, place, "right")) - 1
-            p = place - int(self.begin[i])
-            theirs = self.between[d][place] = "".join(self.passages[i][p - d + 1 : p])
-        known = self.compared.get((mine, theirs))
-        if known is None:
-            if len(self.compared) > 500_000:
-                self.compared.clear()
-            known = self.compared[mine, theirs] = alike(mine, theirs)
-        return known
-
-
-def _ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    """The vocabulary's ids of the words of a text, -1 for others."""
-    words = canonical(_BROKEN.sub("", text or "")).split()
-    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
-
-
-def _windows(pages: list[np.ndarray], width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, id, tf of the known words in overlapping windows, and for each row its page and first word: (rows, ids, owner, begin)."""
-    rows, ids, owner, begin, n = [], [], [], [], 0
-    for k, x in enumerate(pages):
-        for s in range(0, max(1, len(x) - stride), stride):
-            part = x[s : s + width]
-            part = part[part >= 0]
-            if len(part):
-                ids.append(part)
-                rows.append(np.full(len(part), n, np.int64))
-                owner.append(k)
-                begin.append(s)
-                n += 1
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(ids).astype(np.int64), np.array(owner), np.array(begin)
-
-
-def _weighted(rows: np.ndarray, ids: np.ndarray, terms: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, id) with sqrt(tf) x weight; terms of weight 0 fall out."""
-    keep = weight[ids] > 0
-    key, tf = np.unique(rows[keep] * terms + ids[keep], return_counts=True)
-    r, i = key // terms, key % terms
-    return r, i, (np.sqrt(tf) * weight[i]).astype(np.float32)
-
-
-def _project(r: np.ndarray, i: np.ndarray, w: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """The n weighted rows in the space of basis, each of length 1 (or 0)."""
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(r):
-        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        out[r[starts]] = np.add.reduceat(basis[i] * w[:, None], starts, axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def _scan(pages: DataFrame, vocabulary: dict[str, int], share: float) -> DataFrame:
-    """Of each partition df (windows with each word), as rows (id, df); id -1 counts the windows; and the ids of sampled pages."""
-    terms = len(vocabulary)
+def lcs_words(page: list[str], passage: list[str], lo: int, hi: int) -> int:
+    """Length of the longest common subsequence of page[lo:hi] and the passage, bit-parallel over the passage's words."""
+    at: dict[str, int] = {}
+    for k, w in enumerate(passage):
+        at[w] = at.get(w, 0) | 1 << k
+    full = (1 << len(passage)) - 1
+    row = full
+    for w in page[max(lo, 0) : hi]:
+        m = at.get(w)
+        if m:
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    return len(passage) - row.bit_count()
+
+
+def _words(text: str | None) -> list[str]:
+    return canonical(_BROKEN.sub("", text or "")).split()
+
+
+class Terms:
+    """The words of the passages and their pairs of neighbours, numbered; texts become occurrences of these terms in blocks."""
+
+    def __init__(self, passages: list[list[str]]) -> None:
+        self.word = {w: k for k, w in enumerate(sorted({w for ws in passages for w in ws}))}
+        ids = [self.ids(w) for w in passages]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * len(self.word) + x[1:] for x in ids)]))
+        self.size = len(self.word) + len(self.pairs)
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for those of no passage."""
+        return np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
+
+    def blocks(self, texts: list[np.ndarray], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, term) of each occurrence in order of the blocks, a pair lying where its second word does; and the text of each block."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        count = -(-sizes // block)
+        owner = np.repeat(np.arange(len(texts)), count)
+        w = np.concatenate([np.zeros(0, np.int64), *texts])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        where = (np.cumsum(count) - count)[text] + (np.arange(len(w)) - (np.cumsum(sizes) - sizes)[text]) // block
+        known = np.flatnonzero(w >= 0)
+        second = known[1:][(known[1:] - known[:-1] == 1) & (text[known[1:]] == text[known[:-1]])]
+        key = w[second - 1] * len(self.word) + w[second]
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        held = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+        b = np.concatenate([where[known], where[second[held]]])
+        term = np.concatenate([w[known], len(self.word) + at[held]])
+        order = np.argsort(b, kind="stable")
+        return b[order], term[order], owner
+
+
+def _counted(pages: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+    """The number of blocks of all pages, and of each term the number of blocks that have it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(terms, np.int64), 0
+        df, n = np.zeros(terms.size, np.int64), 0
         for b in batches:
-            ids = [_ids(t, vocabulary) for t in b["text"]]
-            rows, words, owner, _ = _windows(ids, WINDOW, STRIDE)
+            block, term, owner = terms.blocks([terms.ids(_words(t)) for t in b["text"]])
             n += len(owner)
-            df += np.bincount(np.unique(rows * terms + words) % terms, minlength=terms)
-            chosen = b["u"].to_numpy() < share
-            yield pd.DataFrame({"id": pd.Series(-2, index=range(int(chosen.sum()))), "df": 0, "ids": [x for x, c in zip(ids, chosen) if c]})
+            df += np.bincount(np.unique(block * terms.size + term) % terms.size, minlength=terms.size)
         seen = np.flatnonzero(df)
-        yield pd.DataFrame({"id": np.r_[-1, seen], "df": np.r_[n, df[seen]], "ids": None})
+        yield pd.DataFrame({"term": np.r_[-1, seen], "df": np.r_[n, df[seen]]})
+
+    counts = pages.select("text").mapInPandas(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # one row a term
+    df = np.zeros(terms.size + 1)
+    df[counts["term"]] = counts["df"]  # the blocks' number, of term -1, comes last
+    return int(df[-1]), df[:-1]
+
+
+def weights(blocks: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency; terms in more than a share of the blocks and a number besides say nothing and weigh 0."""
+    return np.where(df > COMMON * blocks + COMMON_LEAST, 0, np.log((blocks + 2) / (df + 1))).astype(np.float32)
+
+
+def _segments(passages: list[list[str]], terms: Terms, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping segments of the passages as weighted rows of length 1: (row, term, value), sorted; of each row its passage and length before."""
+    parts, owner = [], []
+    for k, w in enumerate(passages):
+        for s in range(0, max(1, len(w) - SEGMENT + SEGMENT_STRIDE), SEGMENT_STRIDE):
+            parts.append(terms.ids(w[s : s + SEGMENT]))
+            owner.append(k)
+    row, term, _ = terms.blocks(parts, SEGMENT)
+    key = np.unique(row[weight[term] > 0] * terms.size + term[weight[term] > 0])
+    row, term = key // terms.size, key % terms.size
+    value = weight[term]
+    norm = np.sqrt(np.bincount(row, value.astype(float) ** 2, len(owner)))
+    return row, term, (value / np.maximum(norm, 1e-9)[row]).astype(np.float32), np.array(owner, np.int64), norm
+
+
+def _summed(at: np.ndarray, rows: np.ndarray, value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the sum of value x rows of `of`; at is sorted. In pieces that fit the cache."""
+    out = np.zeros((n, of.shape[1]), np.float32)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    for s in range(0, len(starts), 64):
+        begin, end = starts[s], starts[s + 64] if s + 64 < len(starts) else len(at)
+        part = starts[s : s + 64]
+        out[at[part]] = np.add.reduceat(of[rows[begin:end]] * value[begin:end, None], part - begin, axis=0)
+    return out
 
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    return pages.select("text", u.alias("u")).mapInPandas(run, "id int, df long, ids array<int>")
 
+def latent_basis(spark: SparkSession, passages: list[list[str]], terms: Terms, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors of the passages' segments by a randomised SVD: a Gaussian sketch summed over the executors, then Nystroem."""
+    width = min(rank + EXTRA, terms.size)
 
-def _sketch(sample: DataFrame, weight: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """(A^T A) omega over the windows of the sample, A weighted rows; one partial sum a partition."""
+    def omega() -> np.ndarray:
+        return np.random.default_rng(7).standard_normal((terms.size, width), dtype=np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(omega.shape, np.float64)
-        for b in batches:
-            rows, ids, owner, _ = _windows([np.asarray(x, np.int32) for x in b["ids"]], WINDOW, STRIDE)
-            a = np.zeros((len(owner), len(weight)), np.float32)
-            r, i, w = _weighted(rows, ids, len(weight), weight)
-            a[r, i] = w
-            total += a.T @ (a @ omega)
-        yield pd.DataFrame({"sum": [total.astype(np.float32).tobytes()]})
-
-    parts = sample.repartition(8).mapInPandas(run, "sum binary").collect()  # eight matrices of words x rank
-    return sum((np.frombuffer(p[0], np.float32).reshape(omega.shape).astype(np.float64) for p in parts), np.zeros(omega.shape))
-
-
-def latent_basis(y: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
-    """Whitened right singular vectors from y = (A^T A) omega (Nystroem)."""
-    shift = 1e-6 * max(np.linalg.norm(y), 1e-12)
-    y = y + shift * omega
-    inner = omega.T @ y
-    s, u = np.linalg.eigh((inner + inner.T) / 2)
-    keep = s > 1e-9 * max(s.max(), 1e-12)
-    b = y @ (u[:, keep] / np.sqrt(s[keep]))
-    v, d, _ = np.linalg.svd(b, full_matrices=False)
-    d = d[:rank]
-    strong = d > 1e-4 * max(d[0], 1e-12) if len(d) else np.zeros(0, bool)
-    return (v[:, : len(d)][:, strong] / d[strong]).astype(np.float32)
-
-
-def leaked(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str = "text", least: int = LEAST, near: float = NEAR, verify: bool = True) -> DataFrame:
+        mine = [w.split() for b in batches for w in b["words"]]
+        row, term, value, owner, _ = _segments(mine, terms, weight)
+        y = _summed(row, term, value, omega(), len(owner))
+        order = np.argsort(term, kind="stable")
+        total = _summed(term[order], row[order], value[order], y, terms.size)
+        yield pd.DataFrame({"sum": [total.tobytes()]})
+
+    held = spark.createDataFrame(pd.DataFrame({"words": [" ".join(w) for w in passages]}), "words string")
+    parts = held.repartition(SKETCHES).mapInPandas(run, "sum binary").collect()  # SKETCHES matrices of terms x rank
+    total = sum((np.frombuffer(p[0], np.float32).reshape(terms.size, width).astype(np.float64) for p in parts), np.zeros((terms.size, width)))
+    start = omega().astype(np.float64)
+    s, u = np.linalg.eigh((start.T @ total + total.T @ start) / 2)
+    keep = s > 1e-6 * max(s.max(initial=0), 1e-12)
+    half = total @ (u[:, keep] / np.sqrt(s[keep]))
+    # the left singular vectors of half are those of its small Gram matrix
+    s, u = np.linalg.eigh(half.T @ half)
+    keep = np.flatnonzero(s > 1e-4 * max(s.max(initial=0), 1e-12))[::-1][:rank]  # less is rounding
+    return (half @ (u[:, keep] / np.sqrt(s[keep]))).astype(np.float32)
+
+
+class Search:
+    """The passages in the latent space of their segments, ready to be searched with pages."""
+
+    def __init__(self, passages: list[list[str]], terms: Terms, weight: np.ndarray, basis: np.ndarray) -> None:
+        self.terms, self.weight = terms, weight
+        self.basis = basis * weight[:, None]
+        row, term, value, self.owner, self.length = _segments(passages, terms, weight)
+        q = _summed(row, term, value, basis, len(self.owner))
+        self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
+        #: The segments' own values, to compare without the latent space.
+        self.keys, self.values = row * terms.size + term, value
+
+    def near(self, texts: list[np.ndarray], near: float, overlap: float) -> list[tuple[int, int]]:
+        """(text, passage): two neighbouring blocks of the text come near a segment, in the latent space and then in the terms themselves."""
+        block, term, owner = self.terms.blocks(texts)
+        some = self.weight[term] > 0
+        block, term = block[some], term[some]
+        if not len(block):
+            return []
+        n, one = len(owner), np.ones(len(term), np.float32)
+        latent = _summed(block, term, one, self.basis, n)
+        energy = np.bincount(block, self.weight[term].astype(float) ** 2, n)
+        goes_on = np.flatnonzero(owner[1:] == owner[:-1])
+        latent[goes_on] += latent[goes_on + 1]
+        energy[goes_on] += energy[goes_on + 1]
+        norm = np.sqrt(energy)
+        # of a window hardly in the latent space the direction there means little
+        latent /= np.maximum(np.maximum(np.linalg.norm(latent, axis=1), GUARD * norm), 1e-9)[:, None]
+        hit, seg = np.nonzero(latent @ self.queries >= near)
+        if not len(hit):
+            return []
+        begin = np.searchsorted(block, np.arange(n + 1))
+        last = np.arange(n)
+        last[goes_on] += 1
+        lo, size = begin[hit], begin[last[hit] + 1] - begin[hit]
+        which = np.repeat(np.arange(len(hit)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + lo[which]
+        once = np.unique(which * self.terms.size + term[at])
+        which, found = once // self.terms.size, once % self.terms.size
+        key = seg[which] * self.terms.size + found
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        product = np.bincount(which, np.where(self.keys[place] == key, self.values[place] * self.weight[found], 0), len(hit))
+        # the geometric mean of the cosine and the part of the segment that the window has
+        keep = product >= overlap * np.sqrt(norm[hit] * self.length[seg])
+        return sorted(set(zip(owner[hit[keep]].tolist(), self.owner[seg[keep]].tolist())))
+
+
+def leaked(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str = "text", least: int = LEAST, near: float = NEAR, overlap: float = OVERLAP, verify: bool = True) -> DataFrame:
     """doc_id, item_id: the pages that print at least `least` consecutive words of a passage. verify=False: all near pairs."""
-    passages = {int(r[0]): passage_words(r[1]) for r in items.filter("item_id is not null and passage is not null").select("item_id", "passage").collect()}
-    passages = {k: w for k, w in passages.items() if len(w) >= least}
+
+    def check(page: Page, passage: list[str], question: list[str]) -> bool:
+        return not verify or longest_run(page, passage, 0, len(page.words), least - SLACK, False) >= least - SLACK
+
+    return _searched(pages, items, rec, text, least, near, overlap, check)
+
+
+def paraphrased(pages: DataFrame, items: DataFrame, rec: str = "doc_id", text: str = "text", least: int = LEAST, share: float = LCS_SHARE) -> DataFrame:
+    """doc_id, item_id: the pages that tell a passage in other words, without `least` consecutive ones of it.
+
+    The longest common subsequence of the passage and a stretch of the page one and a half times as long holds `share` of the
+    passage's words; and the answer is there: of the question's words that the passage has, the stretch has one, if there are any.
+    """
+
+    def check(page: Page, passage: list[str], question: list[str]) -> bool:
+        width = len(passage) * 3 // 2
+        asked = set(question) & set(passage)
+        for lo in range(0, max(1, len(page.words) - width // 2), max(width // 3, 1)):
+            if lcs_words(page.words, passage, lo, lo + width) >= share * len(passage) and (not asked or asked & set(page.words[lo : lo + width])):
+                return longest_run(page, passage, 0, len(page.words), least - SLACK, False) < least - SLACK
+        return False
+
+    return _searched(pages, items, rec, text, least, NEAR, OVERLAP, check)
+
+
+def _searched(pages: DataFrame, items: DataFrame, rec: str, text: str, least: int, near: float, overlap: float, check: Callable[[Page, list[str], list[str]], bool]) -> DataFrame:
+    """doc_id, item_id of the near pairs that pass the check, the passages taken in blocks of about ITEM_BLOCK."""
     pages = pages.select(F.col(rec).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    vocabulary = {w: k for k, w in enumerate(sorted({w for ws in passages.values() for w in ws}))}
-    if not vocabulary:
-        return pages.select("doc_id", F.col("doc_id").alias("item_id")).filter("false")
-    scanned = cut(_scan(pages, vocabulary, min(1.0, SAMPLE_PAGES / max(pages.count(), 1))))
-    counts = {r[0]: r[1] for r in scanned.filter("id > -2").groupBy("id").agg(F.sum("df")).collect()}  # one row a word
-    n = counts.get(-1, 0)
-    df = np.array([counts.get(k, 0) for k in range(len(vocabulary))], float)
-    weight = np.where(df > COMMON * n, 0, np.log((n + 1) / (df + 1))).astype(np.float32) if n > 200 else np.log((n + 2) / (df + 1)).astype(np.float32)
-    # whitening a space of nearly all words would blow up what is noise, so a small vocabulary gets a small rank
-    rank = min(RANK, max(len(vocabulary) // 8, 16))
-    omega = np.random.default_rng(7).normal(size=(len(vocabulary), min(rank + EXTRA, len(vocabulary)))).astype(np.float32)
-    basis = latent_basis(_sketch(scanned.filter("id = -2").select("ids"), weight, omega), omega.astype(np.float64), rank)
-    names = sorted(passages)
-    rows, ids, owner, _ = _windows([np.array([vocabulary[w] for w in passages[k]], np.int32) for k in names], SEGMENT, SEGMENT_STRIDE)
-    queries = _project(*_weighted(rows, ids, len(vocabulary), weight), len(owner), basis)
-    enough = least - SLACK
-    links = Links([passages[k] for k in names], vocabulary, enough)
-    pairs = [np.array([vocabulary[a] * len(vocabulary) + vocabulary[b] for a, b in zip(passages[k], passages[k][1:])], np.int64) for k in names]
-
-    def neighbours(ids: np.ndarray, item: int) -> int:
-        """The most word pairs of any `least` words of the passage that are neighbours in ids."""
-        here = ids[:-1].astype(np.int64) * len(vocabulary) + ids[1:]
-        sums = np.r_[0, np.cumsum(np.isin(pairs[item], here[(ids[:-1] >= 0) & (ids[1:] >= 0)]))]
-        return int((sums[least - 1 :] - sums[: len(sums) - least + 1]).max())
+    asked = F.col("question") if "question" in items.columns else F.lit(None).cast("string")
+    items = items.filter("item_id is not null and passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage", asked.alias("question"))
+    n = -(-items.count() // ITEM_BLOCK)
+    found = pages.select("doc_id", F.col("doc_id").cast("long").alias("item_id")).filter("false")
+    for k in range(n):
+        # a block is bounded whatever the number of passages
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        one = _block(pages, [(r[0], passage_words(r[1]), passage_words(r[2])) for r in rows], least, near, overlap, check)
+        found = found.unionByName(one) if one is not None else found
+    return found.distinct()
+
+
+def _block(pages: DataFrame, items: list[tuple[int, list[str], list[str]]], least: int, near: float, overlap: float, check: Callable[[Page, list[str], list[str]], bool]) -> DataFrame | None:
+    items = sorted(x for x in items if len(x[1]) >= least)
+    if not items:
+        return None
+    passages = [x[1] for x in items]
+    terms = Terms(passages)
+    weight = weights(*_counted(pages, terms))
+    search = Search(passages, terms, weight, latent_basis(pages.sparkSession, passages, terms, weight))
+    search = pages.sparkSession.sparkContext.broadcast(search)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = search.value
         for big in batches:
-            docs, items_ = [], []
-            for lo in range(0, len(big), 64):
-                b = big.iloc[lo : lo + 64]
-                texts = b["text"].tolist()
-                known = [_ids(t, vocabulary) for t in texts]
-                r, i, page, begin = _windows(known, WINDOW, STRIDE)
-                spans: dict[tuple[int, int], list[int]] = {}
-                if len(page):
-                    latent = _project(*_weighted(r, i, len(vocabulary), weight), len(page), basis)
-                    hit, seg = np.nonzero(latent @ queries.T >= near)
-                    for h, s in zip(hit.tolist(), seg.tolist()):
-                        spans.setdefault((int(page[h]), int(owner[s])), []).append(int(begin[h]))
-                if not verify:
-                    found = set(spans)
-                else:
-                    read = [Page(t) for t in texts]
-                    found = set()
-                    for (k, item), begins in spans.items():
-                        # the words of a quotation may lie far apart where columns alternate
-                        if neighbours(known[k][max(min(begins) - 2 * WINDOW, 0) : max(begins) + 3 * WINDOW], item) < PAIRS * least // LEAST:
-                            continue
-                        p, lo_, hi_ = read[k], min(begins) - 2 * WINDOW, max(begins) + 4 * WINDOW
-                        if longest_run(p, passages[names[item]], max(lo_, 0), min(hi_, len(p.words)), enough) >= enough:
-                            found.add((k, item))
-                    for k, likely in enumerate(links.likely(read)):
-                        for item in likely:
-                            if (k, item) not in found and longest_run(read[k], passages[names[item]], 0, len(read[k].words), enough) >= enough:
-                                found.add((k, item))
-                docs += [b["doc_id"].iloc[k] for k, _ in found]
-                items_ += [names[item] for _, item in found]
-            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "item_id": pd.Series(items_, dtype="int64")})
-
-    return pages.mapInPandas(run, "doc_id long, item_id long").distinct()
+            docs, held = [], []
+            for lo in range(0, len(big), 128):
+                texts = big["text"].iloc[lo : lo + 128].tolist()
+                read: dict[int, Page] = {}
+                for k, item in s.near([s.terms.ids(_words(t)) for t in texts], near, overlap):
+                    if k not in read:
+                        read[k] = Page(texts[k])
+                    if check(read[k], passages[item], items[item][2]):
+                        docs.append(big["doc_id"].iloc[lo + k])
+                        held.append(items[item][0])
+            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "item_id": pd.Series(held, dtype="int64")})
+
+    return pages.mapInPandas(run, "doc_id long, item_id long")

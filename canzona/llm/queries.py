@@ -85,6 +85,11 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(s, d, "documents"), table(s, d, "heldout"))
 
 
+def p9_paraphrases(s: SparkSession, d: str) -> DataFrame:
+    """Pages that tell a passage in other words."""
+    return leakage.paraphrased(table(s, d, "documents"), table(s, d, "heldout"))
+
+
 def p9_items(s: SparkSession, d: str) -> DataFrame:
     """For every held-out item, the number of pages that leak it."""
     pages = p9_found(s, d).groupBy("item_id").agg(F.count("*").alias("pages"))
@@ -105,7 +110,7 @@ def p1_spellings(s: SparkSession, d: str) -> DataFrame:
     return found.join(table(s, d, "artists").select("artist_id", "name"), "artist_id").select("artist_id", "name", F.col("value").alias("spelling"), F.round("score", 6).alias("score"), "rows")
 
 
-QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p9_found": p9_found, "p9_items": p9_items, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
