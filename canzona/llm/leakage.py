@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 LEAST, BLOCK, SEGMENT, SEGMENT_STRIDE = 20, 30, 24, 12
 #: Passages searched at once; more are searched block by block. Partial sums of the sketch.
 ITEM_BLOCK, SKETCHES = 400, 3
-RANK, EXTRA = 512, 16
+RANK, EXTRA = 384, 16
 #: The cosine in the latent space from which a window is a candidate, and the least overlap in the terms themselves.
 NEAR, OVERLAP = 0.4, 0.26
 #: The least part of a window's length that counts as its length in the latent space.
@@ -320,16 +320,18 @@ def latent_basis(spark: SparkSession, passages: list[list[str]], terms: Terms, w
         yield pd.DataFrame({"sum": [total.tobytes()]})
 
     held = spark.createDataFrame(pd.DataFrame({"words": [" ".join(w) for w in passages]}), "words string")
-    parts = held.repartition(SKETCHES).mapInPandas(run, "sum binary").collect()  # SKETCHES matrices of terms x rank
-    total = sum((np.frombuffer(p[0], np.float32).reshape(terms.size, width).astype(np.float64) for p in parts), np.zeros((terms.size, width)))
-    start = omega().astype(np.float64)
-    s, u = np.linalg.eigh((start.T @ total + total.T @ start) / 2)
+    total = np.zeros((terms.size, width), np.float32)
+    for part in held.repartition(SKETCHES).mapInPandas(run, "sum binary").toLocalIterator():  # one matrix of terms x rank at a time
+        total += np.frombuffer(part[0], np.float32).reshape(total.shape)
+    inner = (omega().T @ total).astype(np.float64)
+    s, u = np.linalg.eigh((inner + inner.T) / 2)
     keep = s > 1e-6 * max(s.max(initial=0), 1e-12)
-    half = total @ (u[:, keep] / np.sqrt(s[keep]))
+    half = total @ (u[:, keep] / np.sqrt(s[keep])).astype(np.float32)
+    del total
     # the left singular vectors of half are those of its small Gram matrix
-    s, u = np.linalg.eigh(half.T @ half)
+    s, u = np.linalg.eigh((half.T @ half).astype(np.float64))
     keep = np.flatnonzero(s > 1e-4 * max(s.max(initial=0), 1e-12))[::-1][:rank]  # less is rounding
-    return (half @ (u[:, keep] / np.sqrt(s[keep]))).astype(np.float32)
+    return half @ (u[:, keep] / np.sqrt(s[keep])).astype(np.float32)
 
 
 class Search:
@@ -337,9 +339,10 @@ class Search:
 
     def __init__(self, passages: list[list[str]], terms: Terms, weight: np.ndarray, basis: np.ndarray) -> None:
         self.terms, self.weight = terms, weight
-        self.basis = basis * weight[:, None]
         row, term, value, self.owner, self.length = _segments(passages, terms, weight)
         q = _summed(row, term, value, basis, len(self.owner))
+        self.basis = basis
+        self.basis *= weight[:, None]
         self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
         #: The segments' own values, to compare without the latent space.
         self.keys, self.values = row * terms.size + term, value
