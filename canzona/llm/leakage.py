@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ LEAST, BLOCK, SEGMENT, SEGMENT_STRIDE = 20, 30, 24, 12
 ITEM_BLOCK, SKETCHES = 400, 3
 RANK, EXTRA = 384, 16
 #: The cosine in the latent space from which a window is a candidate, and the least overlap in the terms themselves.
-NEAR, OVERLAP = 0.4, 0.26
+NEAR, OVERLAP = 0.4, 0.3
 #: The least part of a window's length that counts as its length in the latent space.
 GUARD = 0.35
 #: Terms in more than this share of the blocks, and this number besides, say nothing about a passage.
@@ -101,6 +101,9 @@ class Page:
             self.line += [k] * len(w)
             self.first += range(len(w))
             self.last += range(len(w) - 1, -1, -1)
+        # letters before each word, and which letters each word has
+        self.size = [0, *accumulate(map(len, self.words))]
+        self.mask = list(map(_letters, self.words))
 
 
 @lru_cache(1 << 17)
@@ -149,7 +152,7 @@ _STEPS = [(2, 2), (2, 3), (3, 2), (3, 3), (2, 4), (3, 4)]
 
 def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int, shorter: bool = True) -> int:
     """Words of the longest run of the passage in the page's words lo..hi; stops at `enough`; without `shorter`, runs that cannot reach it count 0."""
-    words, line, first, last = page.words, page.line, page.first, page.last
+    words, line, first, last, size, mask = page.words, page.line, page.first, page.last, page.size, page.mask
     where: dict[str, list[int]] = {}
     # a step passes two words of the passage at most, so words in no such chain of the page's words start or carry no run
     here = set(words[lo:hi])
@@ -164,6 +167,10 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int, s
     if not where:
         return 0
     wide = len(passage) + 4
+    # letters and their number in the words that a step of 2 or 3 passes before each passage word
+    m1 = [0, *map(_letters, passage)]
+    n1 = [0, *map(len, passage)]
+    passed = {1: [], 2: list(zip(m1, n1)), 3: [(a | b, x + y) for a, b, x, y in zip(m1, [0, *m1], n1, [0, *n1])]}
     ends: list[list] = [[] for _ in passage]  # where runs reached each passage word near a line's end: (page word, (score, start))
     inner: list[list] = [[] for _ in passage]  # and elsewhere
     cells: dict[int, tuple[float, int]] = {}  # by page word x wide + passage word
@@ -178,8 +185,15 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int, s
             else:
                 for dp, dt in _STEPS:
                     c = cells.get((t - dt) * wide + p - dp) if p >= dp else None
-                    if c and c[0] + dp - 0.1 > best[0] and alike("".join(words[t - dt + 1 : t]), "".join(passage[p - dp + 1 : p])):
-                        best = (c[0] + dp - 0.1, c[1])
+                    if c and c[0] + dp - 0.1 > best[0]:
+                        # the same bounds as in alike, without the words
+                        letters, n = passed[dp][p]
+                        here_n = size[t] - size[t - dt + 1]
+                        most = (n if n > here_n else here_n) * 3 // 10 or 1
+                        if -most <= n - here_n <= most:
+                            here_letters = mask[t - 1] if dt == 2 else mask[t - 1] | mask[t - 2] if dt == 3 else mask[t - 1] | mask[t - 2] | mask[t - 3]
+                            if (letters & ~here_letters).bit_count() <= most >= (here_letters & ~letters).bit_count() and alike("".join(words[t - dt + 1 : t]), "".join(passage[p - dp + 1 : p])):
+                                best = (c[0] + dp - 0.1, c[1])
                 f, at = first[t], line[t]
                 # a run leaves a line at its end or enters one at its start; a word broken there is put together
                 for dp in (1, 2, 3) if f <= 2 else (1,):
@@ -193,8 +207,15 @@ def longest_run(page: Page, passage: list[str], lo: int, hi: int, enough: int, s
                             score = c[0] + dp - (1.5 if f and e else 1.0)
                             if line[t2] == at or score <= best[0]:
                                 continue
-                            if (f == 0 or e == 0) if dp == 1 else (f + e > 0 and alike("".join(words[t2 + 1 : t2 + 1 + e]) + "".join(words[t - f : t]), "".join(passage[p - dp + 1 : p]))):
-                                best = (score, c[1])
+                            if dp == 1:
+                                if f == 0 or e == 0:
+                                    best = (score, c[1])
+                            elif f + e > 0:
+                                n = passed[dp][p][1]
+                                here_n = size[t2 + 1 + e] - size[t2 + 1] + size[t] - size[t - f]
+                                most = (n if n > here_n else here_n) * 3 // 10 or 1
+                                if -most <= n - here_n <= most and alike("".join(words[t2 + 1 : t2 + 1 + e]) + "".join(words[t - f : t]), "".join(passage[p - dp + 1 : p])):
+                                    best = (score, c[1])
             cells[t * wide + p] = best
             (ends if last[t] <= 2 else inner)[p].append((t, best))
             if best[0] > top:
@@ -261,9 +282,10 @@ def _counted(pages: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(terms.size, np.int64), 0
         for b in batches:
-            block, term, owner = terms.blocks([terms.ids(_words(t)) for t in b["text"]])
-            n += len(owner)
-            df += np.bincount(np.unique(block * terms.size + term) % terms.size, minlength=terms.size)
+            for lo in range(0, len(b), 128):  # what fits the cache
+                block, term, owner = terms.blocks([terms.ids(_words(t)) for t in b["text"].iloc[lo : lo + 128]])
+                n += len(owner)
+                df += np.bincount(np.unique(block * terms.size + term) % terms.size, minlength=terms.size)
         seen = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.r_[-1, seen], "df": np.r_[n, df[seen]]})
 
