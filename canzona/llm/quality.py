@@ -1,11 +1,11 @@
 """Per-document text statistics, and which documents are not natural prose.
 
-The statistics of each text are taken in one pass over its lines. Lines that look like running text (a common word, few
-digits, mostly letters, no leader dots) weakly label the clear cases: prose where nearly all lines do, structural junk where
-nearly none do. Gradient-boosted trees learn from a bounded sample of these; their scores are calibrated (Platt) on the
-hand-checked pages of `holdout`, which were never used for training, and a text is no prose where the probability of junk
-reaches one half. Where the trees misjudge
-more than a fifth of the checked pages, the texts are of another kind and the scores stay uncalibrated.
+The statistics of each text are taken in one pass over its lines. Weak labels come from what the statistics do not hold: how
+lines hang together. A line votes for prose if it reads like running text, goes on from or into a neighbouring line (a small
+letter, a broken word, capitals throughout) and has a shape of words and signs that the page does not repeat; a page is weakly
+prose or junk where most of its lines are, by a margin. Gradient-boosted trees learn from a bounded sample of these pages, seeing
+their statistics only. Their scores are calibrated (Platt) on the hand-checked pages `holdout.CALIBRATION`, which were never
+trained on, and a text is no prose where the probability of junk reaches one half; `holdout.EVALUATION` measures the outcome.
 
 Defined cases: a NULL, empty or blank text has zero statistics and is junk. Lines of white space are not counted. Texts are
 read whole, however long. Rows repeated under one id give one row, of the largest text. A NULL id is no document. Without
@@ -23,11 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canzona.llm.holdout import CHECKED
+from canzona.llm.holdout import CALIBRATION
 from canzona.session import cut
 
-#: Weakly labelled pages of each kind used for training, at most; chosen by hash of the id.
-TRAIN_ROWS = 3_000
+#: Pages that are weakly labelled, about, and of these the pages of each kind used for training, at most; chosen by hash of the id.
+LABEL_ROWS, TRAIN_ROWS = 20_000, 3_000
+#: Common words that are held in every task, at most.
+COMMON_WORDS = 200_000
+#: Shares of prose lines that make a page weakly junk or prose.
+JUNK_LINES, PROSE_LINES = 0.4, 0.6
+#: A shape of words is repeated if more lines than one, and than this share of the page, have it.
+REPEATED = 0.05
 STATS = [
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "running_lines", "common_lines",
     "digit_lines", "lower_starts", "upper_words", "short_words", "mean_line_length", "repeated_lines", "sentence_ends", "word_variety",
@@ -35,6 +41,8 @@ STATS = [
 _WORD = re.compile(r"[^\W\d_]+")
 _LEADER = re.compile(r"\.\s?\.|\s—\s*\d|\t|\s{2,}\S+\s{2,}|^\s*(?:[•*·—-]|\(\d+\))\s|[a-zà-ÿ][A-Z](?![^\W_])")
 _DIGIT = re.compile(r"\d")
+_HYPHEN = re.compile(r"[-=¬‐‑­]\s*$")
+_PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
 def statistics(text: str | None, common: frozenset[str]) -> list[float]:
@@ -77,19 +85,50 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     ]
 
 
-def page_statistics(texts: DataFrame, rec: str, text: str, common: frozenset[str]) -> DataFrame:
-    """rec and the columns of STATS, one row for each record id."""
+def prose_lines(text: str | None, common: frozenset[str]) -> float:
+    """The share of lines that vote for prose; 0 for a text without lines."""
+    lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
+    if not lines:
+        return 0.0
+    n, reads, small, broken, capital, shapes = len(lines), [], [], [], [], []
+    for line in lines:
+        pieces = _PIECE.findall(line)
+        low = [p.lower() for p in pieces]
+        tokens = [(p, q) for p, q in zip(pieces, low) if p[0].isalpha()]
+        k, letters, inked = len(tokens), sum(len(p) for p, _ in tokens), len("".join(line.split()))
+        known, upper, short = sum(q in common for _, q in tokens), sum(p != q for p, q in tokens), sum(len(p) < 3 for p, _ in tokens)
+        digits = sum(map(str.isdigit, line))
+        reads.append(
+            k >= 2 and (known * 5 >= k or (upper * 2 <= k and letters > 6 * k)) and digits * 12 <= len(line) and letters * 10 >= 7 * inked
+            and short * 2 <= k and letters >= 3 * k and not _LEADER.search(line)
+        )
+        small.append(line[0].islower())
+        broken.append(bool(_HYPHEN.search(line)))
+        capital.append(k > 0 and sum(p == p.upper() for p, _ in tokens) * 10 >= 7 * k)
+        shapes.append(" ".join("0" if p[0].isdigit() else p if not p[0].isalpha() else q if q in common else "A" if p != q else "a" for p, q in zip(pieces, low)))
+    times: dict[str, int] = {}
+    for x in shapes:
+        times[x] = times.get(x, 0) + 1
+    joined = [False, *(small[i] or broken[i - 1] or (capital[i - 1] and capital[i]) for i in range(1, n)), False]
+    most = max(1, REPEATED * n)
+    return sum(reads[i] and (joined[i] or joined[i + 1]) and times[shapes[i]] <= most for i in range(n)) / n
+
+
+def page_statistics(texts: DataFrame, rec: str, text: str, common: frozenset[str], label_share: float = 0.0) -> DataFrame:
+    """rec, the columns of STATS, and prose_lines for a share of the ids; one row for each record id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = np.array([statistics(t, common) for t in b["text"]], dtype=float).reshape(len(b), len(STATS))
             out = pd.DataFrame(rows, columns=STATS)
             out.insert(0, "rec", b["rec"].to_numpy())
+            out["prose_lines"] = [prose_lines(t, common) if chosen else None for t, chosen in zip(b["text"], b["chosen"])]
             yield out
 
-    rows = texts.filter(F.col(rec).isNotNull()).select(F.col(rec).alias("rec"), F.col(text).alias("text"))
-    each = rows.mapInPandas(run, "rec long, " + ", ".join(f"{c} double" for c in STATS))
-    return each.groupBy("rec").agg(F.max(F.struct(*STATS)).alias("s")).select("rec", "s.*")
+    chosen = F.pmod(F.xxhash64(F.col(rec).cast("long")), F.lit(1 << 40)) / float(1 << 40) < label_share
+    rows = texts.filter(F.col(rec).isNotNull()).select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text"), chosen.alias("chosen"))
+    each = rows.mapInPandas(run, "rec long, " + ", ".join(f"{c} double" for c in STATS) + ", prose_lines double")
+    return each.groupBy("rec").agg(F.max(F.struct(*STATS, "prose_lines")).alias("s")).select("rec", "s.*")
 
 
 class Boosted:
@@ -148,49 +187,48 @@ class Boosted:
 
 
 def platt(score: np.ndarray, junk: np.ndarray, steps: int = 3_000, ridge: float = 0.02) -> tuple[float, float]:
-    """(a, b) of the probability 1 / (1 + exp(-(a score + b))), by gradient steps on the scaled scores with a small ridge."""
+    """(a, b) of the probability 1 / (1 + exp(-(a score + b))), by gradient steps on the scaled scores with a small ridge.
+
+    a stays positive, so that the order of the scores holds: checked pages of another kind than the texts can blur them, no more.
+    """
     scale = float(np.abs(score).max()) or 1.0
     z, a, b = score / scale, 1.0, 0.0
     for _ in range(steps):
         wrong = 1 / (1 + np.exp(-(a * z + b))) - junk
-        a, b = a - ((wrong * z).mean() + ridge * 0.1 * a), b - (wrong.mean() + ridge * 0.1 * b)
+        a, b = max(a - ((wrong * z).mean() + ridge * 0.1 * a), 0.1), b - (wrong.mean() + ridge * 0.1 * b)
     return a / scale, b
 
 
-def weak_label(c=F.col):
-    """1 for clear structural junk, 0 for clear prose, NULL for all between."""
-    prose = (c("running_lines") >= 0.7) & (c("common_share") >= 0.12) & (c("words") >= 5)
-    junk = (c("running_lines") <= 0.3) | (c("common_share") <= 0.03) | ((c("words") >= 30) & (c("word_variety") <= 0.08))
-    return F.when(junk, 1).when(prose & (c("common_share") <= 0.55), 0)
-
-
 def trained(stats: DataFrame, train_rows: int = TRAIN_ROWS):
     """(model, a, b), or None if one kind is absent."""
-    u = F.pmod(F.xxhash64("rec"), F.lit(1 << 40)) / float(1 << 40)
-    labelled = stats.withColumn("junk", weak_label()).filter("junk is not null and words > 0").withColumn("u", u)
-    counts = {r["junk"]: r["count"] for r in labelled.groupBy("junk").count().collect()}
+    u = F.pmod(F.xxhash64("rec"), F.lit(1 << 40))
+    share = F.col("prose_lines")
+    label = F.when(share <= JUNK_LINES, 1).when(share >= PROSE_LINES, 0)
+    labelled = stats.filter("words > 0").select(*STATS, label.alias("junk"), u.alias("u"), "rec").filter("junk is not null")
     rows = []
-    for kind, n in sorted(counts.items()):
-        # the smallest hashes; of many rows only a thin slice is sorted
-        some = labelled.filter((F.col("junk") == kind) & (F.col("u") <= min(1.0, 2 * train_rows / n + 1e-4)))
-        rows += some.orderBy("u", "rec").limit(train_rows).select(*STATS, "junk").collect()
+    for kind in (0, 1):
+        # the labelled pages are few; the smallest hashes of each kind
+        rows += labelled.filter(F.col("junk") == kind).orderBy("u", "rec").limit(train_rows).select(*STATS, "junk").collect()
     data = np.array(rows, dtype=float).reshape(len(rows), len(STATS) + 1)
     y = data[:, -1]
     if not len(y) or y.min() == y.max():
         return None
     model = Boosted().fit(data[:, :-1], y)
-    held = np.array(CHECKED, dtype=float)
-    score = model.score(held[:, :-1])
-    a, b = platt(score, held[:, -1])
-    # texts of another kind may teach what does not hold for the checked pages; their scores then stay as they are
-    fits = a > 0 and ((a * score + b >= 0) == (held[:, -1] > 0)).mean() >= 0.8
-    return (model, a, b) if fits else (model, 1.0, 0.0)
+    score = model.score(np.array([s for *_, s in CALIBRATION], dtype=float))
+    a, b = platt(score, np.array([junk for _, _, junk, _ in CALIBRATION], dtype=float))
+    # one half lies well between the two kinds as the trees score them, even if the checked pages are of another kind than the texts
+    own = model.score(data[:, :-1])
+    prose, junk = np.median(own[y == 0]), np.median(own[y == 1])
+    middle = np.clip(-b / a, prose + (junk - prose) / 4, junk - (junk - prose) / 4)
+    return model, a, -a * middle
 
 
 def page_quality(texts: DataFrame, rec: str, text: str, common: frozenset[str], train_rows: int = TRAIN_ROWS) -> DataFrame:
     """rec, STATS, junk_probability."""
-    stats = cut(page_statistics(texts, rec, text, common))
+    share = min(1.0, LABEL_ROWS / max(texts.count(), 1))
+    stats = cut(page_statistics(texts, rec, text, common, share))
     fit = trained(stats, train_rows)
+    stats = stats.drop("prose_lines")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -205,6 +243,10 @@ def page_quality(texts: DataFrame, rec: str, text: str, common: frozenset[str],
     return stats.mapInPandas(run, stats.schema.simpleString()[7:-1].replace(":", " ") + ", junk_probability double")
 
 
-def common_words(table: DataFrame) -> frozenset[str]:
-    """The list of common words, a fixed table of a few hundred rows."""
-    return frozenset(r[0].lower() for r in table.filter("word is not null").select("word").limit(100_000).collect())
+def common_words(table: DataFrame, most: int = COMMON_WORDS) -> frozenset[str]:
+    """The list of common words. All of it goes to every task, so a table of more than `most` words is refused, not cut."""
+    words = table.filter("word is not null").select(F.lower("word").alias("word")).distinct()
+    n = words.count()
+    if n > most:
+        raise ValueError(f"{n} common words; at most {most} are taken")
+    return frozenset(r[0] for r in words.collect())

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from canzona.llm import leakage, quality
-from canzona.llm.holdout import CHECKED
+from canzona.llm.holdout import CALIBRATION, EVALUATION
 
 NOUNS = [a + b for a in ("gar", "fen", "hol", "tim", "wag", "lan", "mor", "pel", "quin", "dus") for b in ("den", "ter", "low", "ber", "on", "tern", "rock", "ham", "ster", "kin", "dle", "mar")]
 SMALL = "the of and to in is was for on with".split()
@@ -94,4 +94,6 @@ def test_boosting_and_calibration():
 
 
 def test_holdout_has_both_kinds():
-    assert {r[-1] for r in CHECKED} == {0, 1} and all(len(r) == len(quality.STATS) + 1 for r in CHECKED)
+    for pages in (CALIBRATION, EVALUATION):
+        assert {r[2] for r in pages} == {0, 1} and all(len(r[3]) == len(quality.STATS) for r in pages)
+    assert not {r[:2] for r in CALIBRATION} & {r[:2] for r in EVALUATION}
