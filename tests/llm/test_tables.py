@@ -89,6 +89,21 @@ def test_names(spark):
     assert names.named(typed.limit(0), known).count() == 0 and names.named(typed, known.limit(0)).count() == 0
 
 
+def test_names_of_any_length(spark):
+    known = spark.createDataFrame([(1, "Bob Fox", "person"), (2, "Max Ott", "person"), (3, "Beethoven", "person"), (4, "Li Wu", "person"), (5, "Ana Maria Rosa Clara Lucia Ines Marta Elena Lund", "person")], "artist_id bigint, name string, kind string")
+    rows = [("f", str(k), v) for k, v in enumerate(["Bob Fox", "FOX, BOB", "Max Ott", "Beethoven", "beethovne", "Li Wu", "Wu", "Ludwig Beethoven", "Ana Maria Rosa Clara Lucia Ines Marta Elena Lund", "Bob", "Fox"])]
+    got = {r.value: r.artist_id for r in names.named(spark.createDataFrame(rows, "field string, rec string, value string"), known).collect()}
+    assert got == {"Bob Fox": 1, "FOX, BOB": 1, "Max Ott": 2, "Beethoven": 3, "beethovne": 3, "Li Wu": 4, rows[8][2]: 5}
+
+
+def test_learned_short_forms(spark):
+    lasts = ["Voskov", "Holstar", "Lunding", "Quillmer", "Brandt"]
+    known = spark.createDataFrame([(k, f"Zebediah {x}", "person") for k, x in enumerate(lasts)] + [(50 + k, f"{g} Castell{k}", "person") for k, g in enumerate(["Orla", "Pia", "Quin", "Rolf", "Siv"] * 9)], "artist_id bigint, name string, kind string")
+    values = spark.createDataFrame([(f"Bibsy {x}",) for x in lasts[:4]] + [(f"{x}, Tom",) for x in lasts[:2]] + [("Tom Castell1",)], "value string")
+    assert {tuple(r) for r in names.learned_forms(values, known).collect()} == {("bibsy", "zebediah")}
+    assert {r.value for r in names.linked_values(values, known).collect()} == {f"Bibsy {x}" for x in lasts[:4]}
+
+
 def test_collision_curve():
     n = names.bands()
     assert 1 - (1 - names.AT**names.ROWS) ** n >= names.RECALL > 1 - (1 - names.AT**names.ROWS) ** (n - 1)
