@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canzona.llm.sequences import components, copy_classes, record_pairs, sequences
+from canzona.llm.sequences import components, copy_classes, group_pairs, record_pairs, sequences
 from canzona.session import HOT_ROWS, cut, small
 
 SHINGLE, TREES, DEPTH, BRANCHES, ROUNDS, REGION = 5, 26, 2, 6, 4, 150
@@ -164,19 +164,6 @@ def neighbours(region: int = REGION):
     return run
 
 
-def in_blocks(full: DataFrame, region: int) -> DataFrame:
-    """a < b: all pairs of each region of full (region, label, cls, n), its records in blocks that meet two by two."""
-    keys = ["region", "label"]
-    sizes = full.groupBy(*keys).agg(F.ceil(F.count("*") / region).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    each = full.join(sizes, keys).withColumn("mine", mine).withColumn("other", other)
-    met = cut(each.select(*keys, "cls", "n", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")))
-    x, y = (met.select(*keys, "p", "q", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("mine").alias(f"m{c}")) for c in "ab")
-    # records of one block meet in its own pairing only
-    return x.join(y, [*keys, "p", "q"]).filter("a < b and (ma <> mb or p = q) and 2 * least(na, nb) >= greatest(na, nb)").select("a", "b")
-
-
 def _spread(keys: DataFrame, hot_rows: int = HOT_ROWS, share: int = 128) -> DataFrame:
     """keys in sorted order, a region in one partition; hot regions, as a sample by hash of cls shows them, in several.
 
@@ -205,7 +192,7 @@ def forest_candidates(sets: DataFrame, region: int = REGION, rounds: int = ROUND
         if not full.limit(1).count():
             break
         if r == rounds:
-            pairs = pairs.unionByName(in_blocks(full, region))
+            pairs = pairs.unionByName(group_pairs(full, ["region", "label"], "cls", region))
         else:
             keys = full.join(sets.select("cls", "set"), "cls").mapInArrow(branch_keys, row)
     return pairs.distinct()

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from canzona.session import HOT_ROWS, cut, hot_keys, replicated, salted, small
 
 
+#: Members of a group that one task pairs with each other.
+PAIR_BLOCK = 1_000
+
+
 def sequences(records: DataFrame, rec: str, seq: str, least: int) -> DataFrame:
     """rec, seq: one sequence of at least `least` tokens for each record id; of several the largest in array order."""
     return records.filter(F.col(rec).isNotNull() & (F.size(seq) >= least)).groupBy(F.col(rec).alias("rec")).agg(F.max(seq).alias("seq"))
@@ -28,10 +32,22 @@ def record_pairs(class_pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: all pairs of records from linked classes (a, b), and all within a class."""
     left, right = membership.select(F.col("cls").alias("a"), F.col("rec").alias("ra")), membership.select(F.col("cls").alias("b"), F.col("rec").alias("rb"))
     across = class_pairs.select("a", "b").join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"))
-    within = left.join(right, (F.col("a") == F.col("b")) & (F.col("ra") < F.col("rb"))).select(F.col("ra").alias("doc_id_a"), F.col("rb").alias("doc_id_b"))
+    within = group_pairs(membership, ["cls"], "rec").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
     return across.unionByName(within)
 
 
+def group_pairs(members: DataFrame, keys: list[str], member: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """a < b: the distinct pairs of members of one group; large groups are cut into blocks that meet two by two in tasks of their own."""
+    sizes = cut(members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1").select(*keys, F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    each = members.join(sizes, keys).withColumn("mine", mine).withColumn("other", other)
+    met = each.select(*keys, member, "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    x, y = (met.select(*keys, "p", "q", F.col(member).alias(c), F.col("mine").alias(f"m{c}")) for c in "ab")
+    # members of one block meet in the pairing of that block with itself only
+    return x.join(y, [*keys, "p", "q"]).filter("a < b and (ma <> mb or p = q)").select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: connected components of a < b edges; label is the smallest node. Alternating star contraction."""
     e = cut(edges.select("a", "b").distinct())

@@ -1,8 +1,9 @@
 """Long exact spans shared between records, and how much of each record is shared elsewhere.
 
 De Bruijn compaction: each run of SPAN tokens is an edge of the graph. Edges that occur in one record only are dropped.
-An edge is joined to its only successor where every occurrence goes on alike, so that non-branching paths fall together to
-one path with its occurrences; the source coordinates of a path give back the tokens, which must agree token for token.
+An edge whose occurrences all go on alike, into an edge that occurs nowhere else, has it as its only successor; non-branching
+paths are compacted by joins that double the distance to the path's head in each round. Each occurrence of a head is one of its
+whole path; its source coordinates give back the tokens, which must agree token for token.
 
 Defined cases: records under `span` tokens or with NULL sequence share nothing. NULL tokens are a value of their own. A
 span repeated within one record only is not shared. Exact copies are one record until the end and share all their tokens.
@@ -15,48 +16,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from canzona.llm.sequences import copy_classes, record_pairs, sequences
-from canzona.session import HOT_ROWS, cut, hot_keys, replicated, salted, small
+from canzona.llm.sequences import copy_classes, group_pairs, record_pairs, sequences
+from canzona.session import HOT_ROWS, cut, replicated, salted, small
 
 SPAN = 24
 
 
-def repeated_edges(classes: DataFrame, span: int = SPAN) -> DataFrame:
-    """cls, pos, h, n: the occurrences of edges that more than one class has; n is the edge's number of occurrences."""
-    # two seeds for one edge; the first element keeps NULL apart from a missing token
+def _edges(classes: DataFrame, span: int) -> DataFrame:
+    """cls, pos, h, next: every edge of every class and the edge that follows it, NULL at the end."""
+    # the first element and the NULLs keep missing tokens apart from shorter runs
     edge = lambda p, i: F.xxhash64(F.lit(span), F.slice(p, i + 1, span), F.transform(F.slice(p, i + 1, span), lambda x: x.isNull()))
-    edges = classes.select(
-        "cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("seq") - span), lambda i: edge(F.col("seq"), i))).alias("pos", "h")
-    )
-    edges = cut(edges)
-    shared = cut(edges.groupBy("h").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("h", "n"))
-    hot = cut(shared.filter(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
-    hot = small(hot, hot.count())
-    return cut(salted(edges, hot, "h", F.col("cls")).join(replicated(shared, hot, "h"), ["h", "salt"]).select("cls", "pos", "h", "n"))
+    hashes = classes.select("cls", F.transform(F.sequence(F.lit(0), F.size("seq") - span), lambda i: edge(F.col("seq"), i)).alias("hs"))
+    steps = hashes.select("cls", F.posexplode(F.arrays_zip(F.col("hs").alias("h"), F.slice("hs", 2, 2_000_000_000).alias("next"))).alias("pos", "e"))
+    return cut(steps.select("cls", "pos", F.col("e.h").alias("h"), F.col("e.next").alias("next")))
+
 
+def paths(edges: DataFrame) -> DataFrame:
+    """h, n, edges: the heads of the non-branching paths of edges that more than one class has, their occurrences and length.
 
-def compacted(occurrences: DataFrame) -> DataFrame:
-    """path, cls, start, edges: the occurrences of the non-branching paths."""
-    inside = W.partitionBy("cls").orderBy("pos")
-    nxt = F.when(F.lead("pos").over(inside) == F.col("pos") + 1, F.struct(F.lead("h").over(inside).alias("h"), F.lead("n").over(inside).alias("n")))
-    steps = occurrences.withColumn("next", nxt)
-    goes_on = steps.groupBy("h").agg(
-        F.first("n").alias("n"), F.count("next").alias("followed"), F.min("next").alias("lo"), F.max("next").alias("hi")
-    ).filter("followed = n and lo = hi and lo.n = n").select("h", F.lit(True).alias("joined"))
-    goes_on = cut(goes_on)
-    flagged = occurrences.join(goes_on, "h", "left")
-    begins = F.coalesce((F.lag("pos").over(inside) != F.col("pos") - 1) | F.lag("joined").over(inside).isNull(), F.lit(True))
-    marked = flagged.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return marked.groupBy("cls", "run").agg(F.min_by("h", "pos").alias("path"), F.min("pos").alias("start"), F.count("*").cast("int").alias("edges")).drop("run")
+    No path is a ring: the last occurrence of some edge of a ring would have to go on as well.
+    """
+    held = edges.groupBy("h").agg(
+        F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("next").alias("followed"), F.min("next").alias("least"), F.max("next").alias("most")
+    )
+    only = F.when((F.col("followed") == F.col("n")) & (F.col("least") == F.col("most")), F.col("least"))
+    shared = cut(held.filter("lo < hi").select("h", "n", only.alias("next")))
+    after = shared.filter("next is not null").select(F.col("h").alias("before"), F.col("n").alias("m"), F.col("next").alias("h"))
+    steps = cut(shared.join(after, "h").filter("n = m").select("h", F.col("before").alias("back"), F.lit(1).alias("far")))
+    # an edge that no edge leads to alone is a head; the others reach twice as far back in each round
+    heads = shared.join(steps.select("h"), "h", "left_anti").select("h", "n")
+    while True:
+        jump = steps.select(F.col("h").alias("back"), F.col("back").alias("to"), F.col("far").alias("more"))
+        new = steps.select("h", "back", "far").join(jump, "back", "left")
+        steps = cut(new.select("h", F.coalesce("to", "back").alias("back"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("to").isNotNull().alias("moved")))
+        if not steps.filter("moved").limit(1).count():
+            break
+    lengths = steps.groupBy(F.col("back").alias("h")).agg((F.max("far") + 1).alias("edges"))
+    return cut(heads.join(lengths, "h", "left").select("h", "n", F.coalesce("edges", F.lit(1)).cast("int").alias("edges")))
+
+
+def path_places(classes: DataFrame, span: int = SPAN) -> DataFrame:
+    """path, cls, start, edges: the occurrences of the paths, each where its head occurs."""
+    edges = _edges(classes, span)
+    heads = paths(edges)
+    hot = cut(heads.filter(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
+    hot = small(hot, hot.count())
+    met = salted(edges.select("cls", "pos", "h"), hot, "h", F.col("cls")).join(replicated(heads.select("h", "edges"), hot, "h"), ["h", "salt"])
+    return cut(met.select(F.col("h").alias("path"), "cls", F.col("pos").alias("start"), "edges"))
 
 
 def span_classes(classes: DataFrame, span: int = SPAN) -> DataFrame:
     """a < b: the classes with a span in common, checked on their tokens."""
-    placed = compacted(repeated_edges(classes, span))
+    placed = path_places(classes, span)
     read = placed.join(classes.select("cls", "seq"), "cls").select("path", "cls", F.slice("seq", F.col("start") + 1, F.col("edges") + span - 1).alias("tokens"))
-    held = cut(read.withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), ",", "null")).distinct())
-    left, right = held.withColumnRenamed("cls", "a"), held.withColumnRenamed("cls", "b")
-    return left.join(right, ["path", "tokens"]).filter("a < b").select("a", "b").distinct()
+    # the tokens themselves are compared once for each path and class; equal ones have one digest
+    held = read.select("path", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",", "null"), 256).alias("tokens"), "cls").distinct()
+    return group_pairs(cut(held), ["path", "tokens"], "cls")
 
 
 def shared_spans(records: DataFrame, rec: str, seq: str, span: int = SPAN) -> DataFrame:
@@ -68,12 +83,12 @@ def shared_spans(records: DataFrame, rec: str, seq: str, span: int = SPAN) -> Da
 def shared_stretches(records: DataFrame, rec: str, seq: str, span: int = SPAN) -> DataFrame:
     """doc_id, start, end (exclusive), tokens: the maximal stretches of each record that are covered by shared spans."""
     classes, membership = copy_classes(sequences(records, rec, seq, span))
-    inside = W.partitionBy("cls").orderBy("pos")
-    occ = repeated_edges(classes, span)
-    # spans that touch or overlap make one stretch
-    new = occ.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(inside) > span).cast("int"), F.lit(1)))
-    stretch = new.withColumn("s", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy("cls", "s").agg(
-        F.min("pos").alias("start"), (F.max("pos") + span).alias("end")
+    # paths that touch or overlap make one stretch; a record has few paths however long it is
+    upto = W.partitionBy("cls").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    placed = path_places(classes, span).select("cls", "start", (F.col("start") + F.col("edges") + span - 1).alias("end"))
+    new = placed.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(upto)).cast("int"), F.lit(1)))
+    stretch = new.withColumn("s", F.sum("new").over(W.partitionBy("cls").orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy("cls", "s").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
     )
     single = classes.filter("members = 1").select("cls").join(stretch, "cls").select("cls", "start", "end")
     copies = classes.filter("members > 1").select("cls", F.lit(0).alias("start"), F.size("seq").alias("end"))
