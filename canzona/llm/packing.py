@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from canzona.session import cut
+from canzona.session import HOT_ROWS, cut
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLICES = 64
 _loaded: dict = {}
 
 
@@ -91,7 +90,7 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.n
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rec, piece, tokens, container from lengths (rec, tokens)."""
     whole = lengths.select("rec", F.posexplode(
         F.when(F.col("tokens") <= capacity, F.array("tokens")).otherwise(
@@ -101,7 +100,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
         )
     ).alias("piece", "size"))
-    pieces = cut(whole.withColumn("slice", F.pmod(F.xxhash64("rec", "piece"), F.lit(SLICES)).cast("int")))
+    whole = cut(whole)
+    # so many slices that even if all pieces are of one length none holds more than about hot_rows
+    slices = max(1, -(-whole.count() // hot_rows))
+    pieces = whole.withColumn("slice", F.pmod(F.xxhash64("rec", "piece"), F.lit(slices)).cast("int"))
     counts = cut(pieces.filter("size > 0").groupBy("size", "slice").count())
     histogram = {int(r["size"]): int(r["n"]) for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     keys, first = slots(shortest_pack_first(histogram, capacity))

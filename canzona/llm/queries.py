@@ -24,6 +24,11 @@ def p5_terms(s: SparkSession, d: str) -> DataFrame:
     return _terms(s, d)
 
 
+def p5_stored(s: SparkSession, d: str) -> DataFrame:
+    """Where the stored counts of figures are wrong or missing."""
+    return termcount.stored_counts(table(s, d, "figures"), table(s, d, "postings"), table(s, d, "works"))
+
+
 def _collapsed(s: SparkSession, d: str) -> DataFrame:
     return formdup.collapse(formdup.canonical(table(s, d, "works"), "doc_id", "ext_id", ["title", "artist"]))
 
@@ -110,7 +115,7 @@ def p1_spellings(s: SparkSession, d: str) -> DataFrame:
     return found.join(table(s, d, "artists").select("artist_id", "name"), "artist_id").select("artist_id", "name", F.col("value").alias("spelling"), F.round("score", 6).alias("score"), "rows")
 
 
-QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p9_found": p9_found, "p9_items": p9_items, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p9_found": p9_found, "p9_items": p9_items, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_assign": p8_assign, "p8_fill": p8_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_shared": p4_shared, "p4_places": p4_places, "p5_found": p5_found, "p5_terms": p5_terms, "p5_stored": p5_stored, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _TERMS = """WITH f AS (SELECT figure_id, stratum, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
 t AS (SELECT figure_id, stratum, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
@@ -121,6 +126,14 @@ r AS (SELECT v.stratum, v.term, coalesce(c.occurrences, 0) AS occurrences, coale
   CASE WHEN coalesce(c.records, 0) <= 1 THEN 'rare' WHEN c.records * 100 > coalesce(z.size, 0) THEN 'common' END AS mark
   FROM (SELECT DISTINCT stratum, term FROM t) v LEFT JOIN c ON c.stratum = v.stratum AND c.term = v.term LEFT JOIN z ON z.stratum = v.stratum)
 """
+_STORED = """WITH f AS (SELECT figure_id, stratum, df, df_dated, regexp_replace(fkey, '[\\s\\x{a0}]+', '', 'g') AS bare FROM figures),
+t AS (SELECT figure_id, stratum, df, df_dated, lower(split_part(bare, ':', 1)) || substr(bare, length(split_part(bare, ':', 1)) + 1) AS term FROM f),
+y AS (SELECT doc_id, max(year) AS year FROM works GROUP BY 1),
+c AS (SELECT t.stratum, t.term, count(DISTINCT p.doc_id) AS records, count(DISTINCT p.doc_id) FILTER (WHERE y.year IS NOT NULL) AS dated
+  FROM postings p JOIN t USING (figure_id) JOIN y ON y.doc_id = p.doc_id GROUP BY ALL)
+SELECT t.figure_id, t.df, coalesce(c.records, 0) AS records, t.df_dated, coalesce(c.dated, 0) AS dated,
+  CASE WHEN t.df IS NULL OR t.df_dated IS NULL THEN 'missing' WHEN t.df = coalesce(c.records, 0) AND t.df_dated = coalesce(c.dated, 0) THEN 'right' ELSE 'wrong' END AS state
+FROM t LEFT JOIN c ON c.stratum = t.stratum AND c.term = t.term WHERE t.term IS NOT NULL AND t.stratum IS NOT NULL"""
 _FOLD = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _KEYS = f"""WITH k AS (SELECT DISTINCT doc_id, {_FOLD.format('ext_id')} AS e,
   array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(coalesce(title, '') || ' ' || coalesce(artist, ''), '[\\s\\x{{a0}}]+'),
@@ -142,6 +155,7 @@ SQL = {
     "p4_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id",
     "p4_shared": _SPANS + "SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, shared_tokens, round(shared_tokens / tokens, 6) AS share FROM cov",
     "p5_found": _TERMS + "SELECT stratum, term, mark FROM r WHERE mark IS NOT NULL",
+    "p5_stored": _STORED,
     "p5_terms": _TERMS + "SELECT * FROM r",
     "p7_found": _KEYS + "SELECT kept AS doc_id_kept, doc_id AS doc_id_copy FROM g WHERE doc_id <> kept",
     "p7_kept": _KEYS + "SELECT doc_id, copies FROM g WHERE doc_id = kept UNION ALL SELECT DISTINCT doc_id, 1 FROM k WHERE e = ''",

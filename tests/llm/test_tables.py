@@ -7,18 +7,23 @@ def test_last_seen_counts(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(9)])) for _ in range(300)] + [("hot", 5)] * 500
     df = spark.createDataFrame(rows, "term string, rec bigint").selectExpr("*", "1 as occurrences", "2 as records")
-    got = {r.term: (r.occurrences, r.records) for r in termcount.last_seen_counts(df, ["term"], "rec").collect()}
+    got = {r.term: (r.occurrences, r.records) for r in termcount.last_seen_counts(df, ["term"], "rec", 7).collect()}
     known = [(t, r) for t, r in rows if t is not None and r is not None]
     assert got == {t: (sum(x == t for x, _ in known), len({r for x, r in known if x == t})) for t in {t for t, _ in known}}
-    assert termcount.last_seen_counts(df.limit(0), ["term"], "rec").count() == 0
+    assert termcount.last_seen_counts(df.limit(0), ["term"], "rec", 1).count() == 0
 
 
 def test_marks(spark):
     figures = spark.createDataFrame([(1, " Pitch:5: 1,2", "s"), (2, "pitch:5:1,2", "s"), (3, "interval:5:U,u", "s"), (4, "interval:5:u,U", "s"), (5, None, "s")], "figure_id bigint, fkey string, stratum string")
     works = spark.createDataFrame([(k, "s") for k in range(150)] + [(3, "s")], "doc_id bigint, stratum string")
     postings = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 4), (3, 4), (4, 999)], "figure_id bigint, doc_id bigint")
-    got = {r.term: (r.occurrences, r.records, r.mark) for r in termcount.figure_terms(figures, postings, works).collect()}
-    assert got == {"pitch:5:1,2": (3, 2, "common"), "interval:5:U,u": (2, 1, "rare"), "interval:5:u,U": (0, 0, "rare")}
+    for hot in (50_000, 1):
+        got = {r.term: (r.occurrences, r.records, r.mark) for r in termcount.figure_terms(figures, postings, works, hot).collect()}
+        assert got == {"pitch:5:1,2": (3, 2, "common"), "interval:5:U,u": (2, 1, "rare"), "interval:5:u,U": (0, 0, "rare")}
+    stored = figures.selectExpr("*", "if(figure_id = 3, 1, 2) as df", "if(figure_id = 4, null, 1) as df_dated")
+    dated = works.selectExpr("*", "if(doc_id = 2, 1900, null) as year")
+    got = {r.figure_id: (r.records, r.dated, r.state) for r in termcount.stored_counts(stored, postings, dated).collect()}
+    assert got == {1: (2, 1, "right"), 2: (2, 1, "right"), 3: (1, 0, "wrong"), 4: (0, 0, "missing")}
 
 
 def test_formatting_duplicates(spark):
@@ -54,7 +59,7 @@ def test_packing_patterns():
 def test_packing(spark):
     rng = random.Random(3)
     sizes = [(k, rng.choice([0, 1, 50, 50, 50, 2047, 2048, 2049, 5000, rng.randrange(1, 3000)])) for k in range(400)]
-    got = packing.pack(spark.createDataFrame(sizes, "rec bigint, tokens bigint")).collect()
+    got = packing.pack(spark.createDataFrame(sizes, "rec bigint, tokens bigint"), hot_rows=30).collect()
     total, room = {}, {}
     for r in got:
         total[r.rec] = total.get(r.rec, 0) + r.tokens
