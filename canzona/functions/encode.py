@@ -38,7 +38,7 @@ def contour(p: Column, refined: bool) -> Column:
 
 
 def scale_degrees(p: Column, tonic: Column) -> Column:
-    return F.transform(p, lambda x: F.pmod(x - tonic, F.lit(12)))
+    return _once(tonic, lambda t: F.transform(p, lambda x: F.pmod(x - t, F.lit(12))))
 
 
 def key_scores(p: Column) -> Column:
@@ -49,13 +49,19 @@ def key_scores(p: Column) -> Column:
     turned = F.array(*[F.array(*[F.lit(profile[(pc - tonic) % 12]) for pc in range(12)]) for tonic in range(12) for profile in (MAJOR, MINOR)])
     n = F.greatest(F.size(p), F.lit(1))
     share = F.transform(counts, lambda v: v / n)
-    return F.transform(turned, lambda prof: F.round(F.aggregate(F.zip_with(prof, share, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 9))
+    dot = lambda prof, bins: F.round(F.aggregate(F.zip_with(prof, bins, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 9)
+    return _once(share, lambda bins: F.transform(turned, lambda prof: dot(prof, bins)))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value taken once for each row: bound to a variable, it is not repeated wherever use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def best_key(p: Column) -> Column:
     """0..23, tonic x 2 + (1 if minor); the first of equal scores. Empty sequences give 0."""
-    scores = key_scores(p)
-    return F.when(F.size(p) == 0, 0).otherwise(F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+    first = _once(key_scores(p), lambda scores: F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+    return F.when(F.size(p) == 0, 0).otherwise(first)
 
 
 def tokens(p: Column, encoding: str, tonic: Column | None = None) -> Column:

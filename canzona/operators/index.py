@@ -13,8 +13,9 @@ from canzona.functions import encode as E
 
 def distinct_works(works: DataFrame) -> DataFrame:
     """One row for each doc_id, its first by added_at; a retried load adds nothing."""
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("added_at", F.col("removed_at").asc_nulls_last()))
-    return works.filter("doc_id is not null").withColumn("_r", first).filter("_r = 1").drop("_r")
+    first = F.struct("added_at", F.coalesce("removed_at", F.lit("9999-12-31").cast("timestamp_ntz")))
+    row = F.struct(*[c for c in works.columns if c != "doc_id"])
+    return works.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, first).alias("_w")).select("doc_id", "_w.*")
 
 
 def add_works(existing: DataFrame, incoming: DataFrame, least: int = min(E.LENGTHS)) -> DataFrame:
@@ -41,9 +42,18 @@ def windows(works: DataFrame, lengths=E.LENGTHS, encodings=E.INDEXED) -> DataFra
 
 
 def postings(works: DataFrame, lengths=E.LENGTHS, encodings=E.INDEXED) -> DataFrame:
-    """One row a figure and work, with its first place."""
-    key = F.concat_ws(":", "encoding", F.col("n").cast("string"), "body")
-    return windows(works, lengths, encodings).withColumn("fkey", key).groupBy("stratum", "encoding", "n", "fkey", "doc_id").agg(F.min("pos").alias("first_pos"), F.first("year").alias("year"))
+    """One row a figure and work, with its first place.
+
+    All windows of a work lie in its row, so a work's repeated figures fall together there, by sorting its windows; nothing is shuffled.
+    """
+    long_enough = works.filter(F.size("pitches") >= min(lengths)).withColumn("_tonic", (E.best_key(F.col("pitches")) / 2).cast("int"))
+    coded = F.array(*[F.struct(F.lit(e).alias("encoding"), E.tokens(F.col("pitches"), e, F.col("_tonic")).alias("toks"), F.lit(int(e not in ("pitch", "scale_degree"))).alias("less")) for e in encodings])
+    each = long_enough.select("doc_id", "stratum", "year", F.size("pitches").alias("notes"), F.explode(coded).alias("c"))
+    each = each.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter("notes >= n").select("doc_id", "stratum", "year", F.col("c.encoding").alias("encoding"), "n", F.col("c.toks").alias("toks"), (F.col("n") - F.col("c.less")).alias("width"), (F.col("notes") - F.col("n")).alias("last"))
+    placed = each.withColumn("sorted", F.array_sort(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct(F.array_join(F.slice("toks", i + 1, F.col("width")), ",").alias("body"), i.alias("pos")))))
+    once = F.filter("sorted", lambda x, i: (i == 0) | (F.get(F.col("sorted"), i - 1)["body"] != x["body"]))
+    key = F.concat_ws(":", "encoding", F.col("n").cast("string"), "w.body")
+    return placed.select("stratum", "encoding", "n", "doc_id", "year", F.explode(once).alias("w")).select("stratum", "encoding", "n", key.alias("fkey"), "doc_id", F.col("w.pos").alias("first_pos"), "year")
 
 
 def figures(posted: DataFrame) -> DataFrame:
