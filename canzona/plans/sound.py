@@ -84,7 +84,7 @@ _KINDS = {
     "dsp_yin": (lambda i, p: [(i, int(v.sum()), round(float(h[v, 0].mean()), 3), round(float(q[v].sum(axis=1).mean()), 6)) for _, h, q, v in [S.track(S.melody(p))]], "id int, voiced int, mean_hz double, mass double"),
     "dsp_notes": (_transcribed, "id int, k int, onset double, duration double, pitch int, confidence double"),
     "win_note_segment": (lambda i, p: [(i, len(heard(p)[1]))], "id int, notes int"),
-    "join_onset_frames": (lambda i, p: [(i, int(np.searchsorted(np.arange(400) * S.HOP / S.RATE + S.FRAME / 2 / S.RATE, t))) for t in S.onsets(S.melody(p))], "id int, frame int"),
+    "join_onset_frames": (lambda i, p: [(i, int(k)) for x in [S.melody(p)] for k in np.searchsorted(S.track(x)[0], S.onsets(x))], "id int, frame int"),
     "win_peak_pick": (lambda i, p: [(i, len(S.onsets(S.melody(p))))], "id int, peaks int"),
     "dsp_stress": (lambda i, p: [(i, ",".join(S.stress(S.onsets(S.melody(p)), S.tempo(S.melody(p))[1])))], "id int, stress string"),
     "dsp_mixture": (lambda i, p: [(i, len(m), round(float(np.corrcoef(m, v)[0, 1]), 4)) for m, v in [S.mixture(p)]], "id int, samples int, likeness double"),
@@ -121,18 +121,19 @@ SQL["midi_melody"] = f"WITH {D} SELECT doc_id::VARCHAR AS path, len(pitches)::IN
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, k, n, M.track_score(t, n), M.voices(t), len(M.skyline(t))) for p, c in zip(b["path"], b["content"]) for k, (n, t) in enumerate(M.tracks(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "track", "name", "score", "voices", "line"])
-
-    return files(s, d).mapInPandas(run, "path string, track int, name string, score double, voices double, line int")
+    notes = F.col("notes")
+    return M.track_rows(files(s, d)).select("path", "track", "name", M.melodic(notes, F.col("name")).alias("score"), M.polyphony(notes).alias("voices"), F.size(M.top_line(notes)).alias("line"))
 
 
 QUERIES["agg_track_score"] = lambda s, d: _scored(s, d).filter("score is not null").select("path", "name", F.round("score", 6).alias("score"))
 SQL["agg_track_score"] = f"""WITH {D}, x AS (SELECT doc_id::VARCHAR AS path, unnest(pitches) AS p, len(pitches) AS n FROM d WHERE len(pitches) >= 12)
 SELECT path, 'melody' AS name, round(40 + 18 - 0.9 * abs(avg(p) - 70) + least(n, 400) / 100.0, 6)::DOUBLE AS score FROM x GROUP BY path, n
 UNION ALL SELECT path, 'bass line', round(-40 + 18 - 0.9 * abs(avg(p) - 24 - 70) + least(n, 400) / 100.0, 6)::DOUBLE FROM x GROUP BY path, n"""
+SQL["flt_melody_score"] = f"SELECT path, name FROM ({SQL['agg_track_score']}) WHERE score >= 0"
 QUERIES["flt_melody_score"] = lambda s, d: _scored(s, d).filter("score >= 0").select("path", "name")
+# notes of one track never overlap here, so each sounds alone and the line is the track
+_TRACKS = f"WITH {D} SELECT doc_id::VARCHAR AS path, k::INT AS track, {{0}} FROM d, (VALUES (0), (1)) AS t(k)"
+SQL["agg_polyphony"] = _TRACKS.format("CASE WHEN len(pitches) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS voices")
+SQL["win_skyline"] = _TRACKS.format("len(pitches)::INT AS line")
 QUERIES["agg_polyphony"] = lambda s, d: _scored(s, d).select("path", "track", "voices")
 QUERIES["win_skyline"] = lambda s, d: _scored(s, d).select("path", "track", "line")

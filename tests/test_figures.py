@@ -79,15 +79,22 @@ def test_similarity_against_table(spark):
     assert all(abs(got[k] - lcs(a, b)) < 1e-9 for k, (a, b) in enumerate(pairs))
 
 
-def test_midi_round_trip_and_choice_of_track():
+def test_midi_round_trip_and_choice_of_track(spark, tmp_path):
     tune = [72, 74, 76, 74, 72, 71, 69, 71, 72, 76, 74, 72, 71, 69]
     notes = [(p, k, k + 0.5) for k, p in enumerate(tune)]
     bass = [(40, k, k + 1.0) for k in range(14)]
     chords = [(p, k, k + 4.0) for k in range(0, 56, 4) for p in (48, 52, 55)]
-    assert midi.melody(midi.file_bytes([("bass", bass), ("chords", chords), ("melody", notes)])) == tune
-    assert midi.melody(midi.file_bytes([("", bass), ("", notes)])) == tune
-    assert midi.melody(midi.file_bytes([("chords", chords)])) == [] and midi.melody(b"broken") == []
-    assert midi.skyline([(60, 0, 2), (64, 0, 2)]) == [(64, 0, 2)] and [n[0] for n in midi.skyline([(60, 0, 4), (67, 1, 3)])] == [60, 67]
+    parts = {"a/Air (1900).mid": [("bass", bass), ("chords", chords), ("melody", notes)], "b/two.mid": [("", bass), ("", notes)], "b/three.mid": [("chords", chords)], "a/AIR.2.mid": [("melody", notes)]}
+    for name, tracks in parts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(midi.file_bytes(tracks))
+    (tmp_path / "b/broken.mid").write_bytes(b"broken")
+    load = lambda **how: {r.path.split("/", 1)[-1].split(tmp_path.name + "/")[-1]: r.pitches for r in midi.load_folder(spark, str(tmp_path), least=12, **how).collect()}
+    found = load()
+    assert set(found) == {"a/AIR.2.mid", "b/two.mid"} and all(x == tune for x in found.values())
+    assert len(load(limit=1)) == 1 and load(glob="none*") == {}
+    line = lambda ns: [r[0] for r in spark.createDataFrame([([(s, -p, e) for p, s, e in ns],)], f"notes array<{midi.NOTE}>").select(F.explode(midi.top_line(F.array_sort("notes"))).alias("x")).select(-F.col("x.below")).collect()]
+    assert line([(60, 0.0, 2.0), (64, 0.0, 2.0)]) == [64] and line([(60, 0.0, 4.0), (67, 1.0, 3.0)]) == [60, 67] and line([(60, 0.0, 4.0), (50, 1.0, 2.0), (55, 4.0, 5.0)]) == [60, 55]
     assert midi.tracks(midi.file_bytes([("melody", notes)]))[0] == ("melody", notes)
 
 
