@@ -37,15 +37,23 @@ def walk(edges: DataFrame, start: str, forward: bool, depth: int = 3) -> DataFra
     return seen.filter("depth > 0")
 
 
-def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, iterations: int = 12, flush: int = 4) -> DataFrame:
-    """node, score = beta * sum of alpha^k times the walks of k steps that end in the node. Repeated links count once."""
+def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, rounds: int = 100, tolerance: float = 1e-9, flush: int = 4) -> DataFrame:
+    """node, score = beta * sum of alpha^k times the walks of k steps that end in the node. Repeated links count once.
+
+    Rounds go on until no node gains more than the tolerance. Where alpha is not below the inverse of the graph's largest
+    eigenvalue the sum has no limit, and an error tells so after `rounds` rounds.
+    """
     links = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    walks = nodes.withColumn("w", F.lit(1.0))
+    gain = nodes.withColumn("s", F.lit(float(beta)))
     parts = []
-    for k in range(iterations + 1):
-        parts.append(walks.select("node", (F.col("w") * (beta * alpha**k)).alias("s")))
-        walks = links.join(walks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("w"))
-        if k % flush == flush - 1:
-            walks = cut(walks)
+    for k in range(1, rounds + 1):
+        parts.append(gain)
+        gain = links.join(gain.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum("s") * alpha).alias("s"))
+        if k % flush == 0:
+            gain = cut(gain)
+            if not gain.filter(F.abs("s") > tolerance).limit(1).count():
+                return reduce(DataFrame.unionByName, [*parts, gain]).groupBy("node").agg(F.sum("s").alias("score"))
+    if links.limit(1).count():
+        raise ValueError(f"no convergence in {rounds} rounds: alpha {alpha} is too large for this graph")
     return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("s").alias("score"))

@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from canzona.functions import encode as E
 from canzona.operators import index as I
 from canzona.plans.integrity import table
-from canzona.session import cut
+from canzona.session import cut, few
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 REFERENCE_YEAR = 1900
+#: Tasks, and files, over which a cell of the written index spreads.
+CELL_PARTS = 16
 
 #: d: one row a work; c: its token lists by encoding; w: windows; p: postings; f: figures.
 D = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY added_at, removed_at NULLS LAST) AS r
@@ -165,8 +167,8 @@ _LOOK = index_sql() + ", " + _ASK + "SELECT q.fkey, s.name AS stratum, coalesce(
 
 
 def _lookup(s: SparkSession, d: str) -> DataFrame:
-    # six strata: each key is repeated for each of them, no join
-    names = F.array(*[F.lit(r[0]) for r in table(s, d, "strata").select("name").orderBy("name").collect()])
+    # strata are few: each key is repeated for each of them, no join
+    names = F.array(*map(F.lit, few(table(s, d, "strata"), "name")))
     asked = _asked(s, d).withColumn("stratum", F.explode(names))
     return asked.join(figs(s, d).select("stratum", "fkey", "df"), ["stratum", "fkey"], "left").select("fkey", "stratum", F.coalesce("df", F.lit(0)).alias("n_works"))
 
@@ -296,7 +298,8 @@ def sink_index(s: SparkSession, d: str) -> DataFrame:
     from canzona.session import shared_dir
 
     to = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
-    figs(s, d, *FULL).repartition("stratum", "encoding", "n").write.partitionBy("stratum", "encoding", "n").parquet(to)
+    # one cell may hold most figures: its rows go to several tasks, each of which writes one file for it
+    figs(s, d, *FULL).withColumn("part", F.pmod(F.xxhash64("fkey"), F.lit(CELL_PARTS))).repartition("stratum", "encoding", "n", "part").drop("part").write.partitionBy("stratum", "encoding", "n").parquet(to)
     return s.read.parquet(to).filter("encoding = 'interval' and n = 7").groupBy("stratum").agg(F.count("*").alias("figures"), F.sum("df").alias("postings"))
 
 

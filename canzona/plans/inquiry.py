@@ -14,7 +14,7 @@ from canzona.operators import phrases as H
 from canzona.operators import verdict as V
 from canzona.plans.figures import D, P, figs, index_sql, works
 from canzona.plans.integrity import table
-from canzona.session import cut
+from canzona.session import cut, few
 from canzona.sources import payloads as Y
 
 QUERIES: dict = {}
@@ -114,16 +114,16 @@ es AS (SELECT doc_id, stratum, sum(prob) AS mass, sum(prob * hits) / sum(prob) A
 """
 
 
-def counted(s: SparkSession, d: str) -> DataFrame:
-    """Every reading in every stratum (a handful of names) with its count."""
-    w = works(s, d)
-    names = [r[0] for r in w.select("stratum").distinct().orderBy("stratum").limit(1000).collect()]
+def counted(s: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    """Every reading in every stratum with its count; counts: stratum, fkey, df, the index if it is there already."""
+    names = few(works(s, d), "stratum")
     asked = readings(s, d).withColumn("stratum", F.explode(F.array(*map(F.lit, names))))
-    return asked.join(figs(s, d).select("stratum", "fkey", "df"), ["stratum", "fkey"], "left").withColumn("hits", F.coalesce("df", F.lit(0)))
+    counts = figs(s, d) if counts is None else counts
+    return asked.join(counts.select("stratum", "fkey", "df"), ["stratum", "fkey"], "left").withColumn("hits", F.coalesce("df", F.lit(0)))
 
 
-def estimates(s: SparkSession, d: str) -> DataFrame:
-    return L.estimates(counted(s, d), ["doc_id", "stratum"])
+def estimates(s: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    return L.estimates(counted(s, d, counts), ["doc_id", "stratum"])
 
 
 _SHOW = ["round(expected, 5) AS expected", "round(variance, 4) AS variance"]
@@ -133,9 +133,9 @@ add("agg_expected", _EST + "SELECT doc_id, stratum, round(expected, 5) AS expect
 _BOUND = "greatest(0, round_even(round(expected, 9) - 1.96 * sqrt(round(variance, 9)), 0))::BIGINT AS low, round_even(round(expected, 9) + 1.96 * sqrt(round(variance, 9)), 0)::BIGINT AS high"
 
 
-def bounded(s: SparkSession, d: str) -> DataFrame:
+def bounded(s: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
     low, high = L.interval(F.round("expected", 9), F.round("variance", 9))
-    return estimates(s, d).withColumn("low", low).withColumn("high", high)
+    return estimates(s, d, counts).withColumn("low", low).withColumn("high", high)
 
 
 add("agg_interval", _EST + f"SELECT doc_id, stratum, {_BOUND} FROM es")(lambda s, d: bounded(s, d).select("doc_id", "stratum", "low", "high"))
@@ -157,11 +157,12 @@ ru AS (SELECT *, CASE WHEN round(conf, 9) < 0.45 THEN 1 WHEN paths > 0 AND round
 def cells(s: SparkSession, d: str) -> DataFrame:
     w = cut(works(s, d))
     p = cut(I.postings(w, (5,), ("interval",)))
+    counts = cut(I.figures(p))
     asked = lattices(s, d).select("doc_id", (F.aggregate("slots", F.lit(0.0), lambda t, x: t + x[0]["w"]) / 5).alias("mean_confidence"), E.figure_key("interval", 5, E.tokens(L.first_reading(P("slots")), "interval")).alias("fkey"))
     folk = I.matches(p, w, 8).groupBy("stratum", "fkey").agg(F.bool_and(F.coalesce("tradition", F.lit("")).isin(*V.FOLK)).alias("all_folk"))
-    shown = I.rarity(I.figures(p)).select("stratum", "fkey", "percentile", "earliest").join(folk, ["stratum", "fkey"], "left")
+    shown = I.rarity(counts).select("stratum", "fkey", "percentile", "earliest").join(folk, ["stratum", "fkey"], "left")
     docs = w.groupBy("stratum").agg(F.count("*").alias("n_docs"))
-    return bounded(s, d).join(asked, "doc_id").join(shown, ["stratum", "fkey"], "left").join(F.broadcast(docs), "stratum").withColumn("mean_confidence", F.round("mean_confidence", 9)).withColumn("mass", F.round("mass", 9))
+    return bounded(s, d, counts).join(asked, "doc_id").join(shown, ["stratum", "fkey"], "left").join(F.broadcast(docs), "stratum").withColumn("mean_confidence", F.round("mean_confidence", 9)).withColumn("mass", F.round("mass", 9))
 
 
 def verdicts(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +174,7 @@ add("verdict_ladder", _CELLS + f"SELECT doc_id, rule, {_VERDICT} FROM ru")(lambd
 for _k, _rules in (("vd_1", (1,)), ("vd_2", (2,)), ("vd_3", (3,)), ("vd_5", (5,)), ("vd_6", (6,)), ("vd_7", (7, 8, 9))):
     add(_k, _CELLS + f"SELECT doc_id, {_VERDICT} FROM ru WHERE rule IN ({', '.join(map(str, _rules))})")(lambda s, d, r=_rules: verdicts(s, d).filter(P("rule").isin(*r)).select("doc_id", "verdict"))
 add("vd_4", _CELLS + "SELECT doc_id, wide FROM ru WHERE rule > 3 AND wide IS NOT NULL")(lambda s, d: verdicts(s, d).withColumn("wide", F.regexp_extract("reasons", "the interval is wide in ([^;]+)", 1)).filter("wide <> ''").select("doc_id", "wide"))
-add("cards")(lambda s, d: cells(s, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("stratum", "n_docs", "expected", "low", "high", "percentile", "earliest"))).alias("strata")).join(verdicts(s, d), "doc_id"))
+add("cards")(lambda s, d: (lambda c: c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("stratum", "n_docs", "expected", "low", "high", "percentile", "earliest"))).alias("strata")).join(V.ladder(c, "doc_id"), "doc_id"))(cut(cells(s, d))))
 
 # the derivation graph
 add("sink_edges", "SELECT src, dst, source, max(fetched_at) AS fetched_at FROM edges GROUP BY 1, 2, 3")(lambda s, d: G.upsert(table(s, d, "edges")).select("src", "dst", "source", "fetched_at"))

@@ -14,19 +14,47 @@ HOT_ROWS = 50_000
 BROADCAST_ROWS = 20_000
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests) a temporary one."""
+    """The folder all executors share, from spark.checkpoint.dir. Only on one machine, as in tests, a temporary one stands in where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canzona-"))
+        to = spark.conf.get("spark.checkpoint.dir", None)
+        if to is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+        if to is None:
+            to = tempfile.mkdtemp(prefix="canzona-")
+        sc.setCheckpointDir(to)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read back, so that later steps neither repeat nor lose it."""
-    to = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    to = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(to)
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables that `cut` has written in this application, once the results that read them are written; how many it were."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for to in made:
+        path = jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
+
+
+def few(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The distinct values of a column that is a list of names by its nature, in order; more than `most` are refused, not cut."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return found
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,4 +16,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from canzona.session import release
+
+    release(s)
     s.stop()
