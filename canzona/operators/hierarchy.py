@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from canzona.session import HOT_ROWS, cut, hot_keys, replicated, salted, small
 
 #: Levels of the frontier that one job takes.
-LEVELS = 8
+LEVELS = 3
 
 
 def parent_map(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from canzona.functions import encode as E
+from canzona.operators import card as C
 from canzona.operators import graph as G
 from canzona.operators import index as I
 from canzona.operators import lattice as L
@@ -176,6 +177,34 @@ for _k, _rules in (("vd_1", (1,)), ("vd_2", (2,)), ("vd_3", (3,)), ("vd_5", (5,)
 add("vd_4", _CELLS + "SELECT doc_id, wide FROM ru WHERE rule > 3 AND wide IS NOT NULL")(lambda s, d: verdicts(s, d).withColumn("wide", F.regexp_extract("reasons", "the interval is wide in ([^;]+)", 1)).filter("wide <> ''").select("doc_id", "wide"))
 add("cards")(lambda s, d: (lambda c: c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("stratum", "n_docs", "expected", "low", "high", "percentile", "earliest"))).alias("strata")).join(V.ladder(c, "doc_id"), "doc_id"))(cut(cells(s, d))))
 
+# typed sequences: five notes of every work whose id is divisible by 20; of every other one a note is moved out of reach
+_CARD = index_sql() + """, q AS (SELECT doc_id AS query_id, coalesce(year, 1900) AS reference_year, CASE WHEN doc_id % 40 = 20 THEN [pitches[1], pitches[2] + 37, pitches[3], pitches[4], pitches[5]] ELSE pitches[1:5] END AS ps
+  FROM d WHERE doc_id % 20 = 0 AND len(pitches) >= 5),
+qk AS (SELECT *, 'interval:5:' || array_to_string(list_transform(range(1, 5), lambda i: ps[i + 1] - ps[i]), ',') AS fkey FROM q),
+sn AS (SELECT stratum, count(*) AS n_docs, count(*) FILTER (year IS NULL) AS undated FROM d GROUP BY 1),
+ct AS (SELECT qk.query_id, p.stratum, count(*) AS n_works, count(*) FILTER (p.year < qk.reference_year) AS m_works FROM qk JOIN p USING (fkey) GROUP BY 1, 2),
+mt AS (SELECT stratum, fkey, bool_and(tradition IN ('folk', 'traditional', '')) AS all_folk, string_agg(doc_id, ',' ORDER BY place) AS matches FROM (
+  SELECT p.stratum, p.fkey, p.doc_id, coalesce(d.tradition, '') AS tradition, row_number() OVER (PARTITION BY p.stratum, p.fkey ORDER BY p.year NULLS LAST, p.doc_id) AS place
+  FROM p JOIN d USING (doc_id) WHERE p.fkey IN (SELECT fkey FROM qk)) WHERE place <= 8 GROUP BY 1, 2),
+ra AS (SELECT *, round(100.0 * (rank() OVER (PARTITION BY stratum, encoding, n ORDER BY df) - 1) / count(*) OVER (PARTITION BY stratum, encoding, n), 6) AS percentile FROM f),
+ce AS (SELECT qk.query_id, sn.*, coalesce(ct.n_works, 0) AS n_works, coalesce(ct.m_works, 0) AS m_works, ra.percentile, ra.earliest, coalesce(mt.matches, '') AS matches, mt.all_folk FROM qk CROSS JOIN sn
+  LEFT JOIN ct ON ct.query_id = qk.query_id AND ct.stratum = sn.stratum LEFT JOIN ra ON ra.fkey = qk.fkey AND ra.stratum = sn.stratum LEFT JOIN mt ON mt.fkey = qk.fkey AND mt.stratum = sn.stratum),
+ve AS (SELECT query_id, bool_or(n_works > 0) AS any_hit, coalesce(bool_and(all_folk) FILTER (n_works > 0), true) AS folk, max(percentile) FILTER (n_works > 0) AS worst FROM ce GROUP BY 1),
+ru AS (SELECT query_id, CASE WHEN NOT any_hit THEN 5 WHEN folk THEN 6 WHEN worst >= 60 THEN 7 WHEN worst <= 40 THEN 8 ELSE 9 END AS rule FROM ve)
+SELECT ce.query_id, stratum, n_docs, undated, n_works, m_works, percentile, earliest, matches, rule,
+  CASE WHEN rule IN (5, 8) THEN 'distinctive' WHEN rule = 6 THEN 'no_single_originator' ELSE 'commonplace' END AS verdict FROM ce JOIN ru USING (query_id)"""
+
+
+def card_symbolic(s: SparkSession, d: str) -> DataFrame:
+    w = cut(works(s, d))
+    five = F.slice("pitches", 1, 5)
+    moved = F.transform(five, lambda x, i: F.when(i == 1, x + 37).otherwise(x))
+    asked = w.filter("doc_id % 20 = 0 and size(pitches) >= 5").select(P("doc_id").alias("query_id"), F.when(P("doc_id") % 40 == 20, moved).otherwise(five).alias("pitches"), F.coalesce("year", F.lit(1900)).alias("reference_year"))
+    return C.symbolic_cards(asked, w)
+
+
+add("card_symbolic", _CARD)(card_symbolic)
+
 # the derivation graph
 add("sink_edges", "SELECT src, dst, source, max(fetched_at) AS fetched_at FROM edges GROUP BY 1, 2, 3")(lambda s, d: G.upsert(table(s, d, "edges")).select("src", "dst", "source", "fetched_at"))
 add("set_nodes", "SELECT src AS node FROM edges UNION SELECT dst FROM edges")(lambda s, d: table(s, d, "edges").select(P("src").alias("node")).union(table(s, d, "edges").select("dst")).distinct())

@@ -129,3 +129,17 @@ def test_stream_adds_each_work_once(spark, tmp_path):
     ingest.start(stream(), target, str(tmp_path / "ck"), lengths=(5,), encodings=("interval",)).awaitTermination()
     got = ingest.figures(spark, target).filter("stratum = 'alpha' and fkey = 'interval:5:2,2,1,2'").first()
     assert got.df == 2 and got.df_dated == 1
+
+
+def test_symbolic_cards(spark):
+    from canzona.operators import card
+
+    works = spark.createDataFrame(ROWS, WORK)
+    asked = spark.createDataFrame([(1, TUNE, 1950), (2, [p + 5 for p in TUNE], None), (3, [1, 90, 2, 80, 3, 70, 4, 60, 5], 1950), (4, [], 1950), (5, None, 1950)], "query_id bigint, pitches array<int>, reference_year int")
+    got = {(r.query_id, r.stratum): r for r in card.symbolic_cards(asked, works).collect()}
+    assert set(got) == {(q, s) for q in (1, 2, 3) for s in ("alpha", "beta")}
+    one = got[1, "alpha"]
+    assert (one.n_works, one.m_works, one.undated, one.earliest, one.matches, one.n_docs) == (2, 1, 1, 1900, "1,2", 2)
+    assert got[1, "beta"].m_works == 1 and got[2, "alpha"].m_works is None and got[2, "alpha"].n_works == 2
+    assert got[3, "beta"].n_works == 0 and got[3, "alpha"].verdict == "distinctive" and got[3, "alpha"].matches == ""
+    assert card.symbolic_cards(asked.limit(0), works).count() == 0
