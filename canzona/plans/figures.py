@@ -138,11 +138,6 @@ add("flt_predates", f"WITH {D} SELECT doc_id, year FROM d WHERE year IS NOT NULL
 add("flt_bass_dominated", f"WITH {D} SELECT doc_id, median(p) < 55 OR avg(CASE WHEN p < 60 THEN 1.0 ELSE 0 END) >= 0.7 AS bass FROM (SELECT doc_id, unnest(pitches) AS p FROM d) GROUP BY 1")(
     lambda s, d: works(s, d).select("doc_id", F.explode("pitches").alias("p")).groupBy("doc_id").agg(((F.median("p") < 55) | (F.avg(F.when(P("p") < 60, 1.0).otherwise(0.0)) >= 0.7)).alias("bass"))
 )
-add("flt_note_len", "SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(boxes) AS b FROM documents) WHERE b.conf >= 0.9 GROUP BY 1")(
-    lambda s, d: table(s, d, "documents").select("doc_id", F.explode("boxes").alias("b")).filter("b.conf >= cast(0.9 as float)").groupBy("doc_id").agg(F.count("*").alias("lines"))
-)
-SQL["flt_note_len"] = SQL["flt_note_len"].replace(">= 0.9", ">= CAST(0.9 AS FLOAT)")
-
 # aggregates over the index
 add("agg_df", index_sql(*FULL) + "SELECT stratum, fkey, df FROM f")(lambda s, d: figs(s, d, *FULL).select("stratum", "fkey", "df"))
 add("agg_df_dated", index_sql() + "SELECT stratum, fkey, df_dated FROM f")(lambda s, d: figs(s, d).select("stratum", "fkey", "df_dated"))
@@ -230,10 +225,17 @@ def _shared(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["fkey", "head"]).join(I.figures(p).select("fkey", "stratum", "df"), ["fkey", "stratum"]).select("head", "fkey", "df")
 
 
+def _spread(figures_: DataFrame, kind: str) -> DataFrame:
+    """One row: how often the figures occur in the middle and at the high end. The percentiles are exact, over the counts of distinct df."""
+    return figures_.groupBy("df").agg(F.count("*").alias("c")).groupBy(F.lit(kind).alias("kind")).agg(
+        F.sum("c").alias("figures"), F.round(F.sum(P("df") * P("c")) / F.sum("c"), 6).alias("mean_df"),
+        F.round(F.percentile("df", 0.5, P("c")), 6).alias("median_df"), F.round(F.percentile("df", 0.9, P("c")), 6).alias("p90_df"),
+    )
+
+
 add("set_shared_grams", _SHARED + "SELECT * FROM sh")(_shared)
-add("agg_separation", _SHARED + "SELECT 'shared' AS kind, count(*) AS figures, round(avg(df), 6) AS mean_df FROM sh UNION ALL SELECT 'all', count(*), round(avg(df), 6) FROM f")(
-    lambda s, d: _shared(s, d).groupBy(F.lit("shared").alias("kind")).agg(F.count("*").alias("figures"), F.round(F.avg("df"), 6).alias("mean_df")).unionByName(
-        figs(s, d, (9,)).groupBy(F.lit("all").alias("kind")).agg(F.count("*").alias("figures"), F.round(F.avg("df"), 6).alias("mean_df")))
+add("agg_separation", _SHARED + "SELECT 'shared' AS kind, count(*) AS figures, round(avg(df), 6) AS mean_df, round(quantile_cont(df, 0.5), 6) AS median_df, round(quantile_cont(df, 0.9), 6) AS p90_df FROM sh UNION ALL SELECT 'all', count(*), round(avg(df), 6), round(quantile_cont(df, 0.5), 6), round(quantile_cont(df, 0.9), 6) FROM f")(
+    lambda s, d: _spread(_shared(s, d), "shared").unionByName(_spread(figs(s, d, (9,)), "all"))
 )
 add("agg_corpus_qc", f"""WITH {D}, m AS (SELECT stratum, list_median(pitches) AS med, list_max(pitches) - list_min(pitches) AS rng, len(list_distinct(pitches)) AS kinds FROM d WHERE len(pitches) >= 8)
 SELECT stratum, count(*) AS works, round(median(med), 1) AS median_pitch, round(avg(CASE WHEN med BETWEEN 55 AND 84 THEN 1.0 ELSE 0 END), 3) AS in_band,

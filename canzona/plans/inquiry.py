@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from canzona.functions import encode as E
+from canzona.functions.signal import SHORTEST_NOTE
 from canzona.operators import card as C
 from canzona.operators import graph as G
 from canzona.operators import index as I
@@ -46,6 +47,10 @@ def notes(s: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", "pos", "pitch", (P("pos") * F.lit(0.4)).alias("onset"), F.when(P("pitch") % 7 == 0, 0.2).otherwise(0.3).alias("duration"), ((50 + (P("pitch") * 7 + P("pos")) % 50) / 100.0).alias("conf"))
 
 
+# notes of 0.03 s for each unit of pitch modulo five; shorter ones than the limit are no notes
+_LENGTHS = f"WITH {N} SELECT doc_id, pos, pitch, round((pitch % 5) * 0.03, 6)::DOUBLE AS duration FROM n"
+add("flt_note_len", f"SELECT * FROM ({_LENGTHS}) WHERE duration >= {SHORTEST_NOTE}")(
+    lambda s, d: notes(s, d).select("doc_id", "pos", "pitch", F.round((P("pitch") % 5) * F.lit(0.03), 6).alias("duration")).filter(P("duration") >= SHORTEST_NOTE))
 add("win_gap", f"WITH {_GAP} SELECT doc_id, pos, round(gap, 6) AS gap FROM g")(lambda s, d: H.gaps(notes(s, d)).select("doc_id", "pos", F.round("gap", 6).alias("gap")))
 add("win_phrase_session", f"WITH {_PHR} SELECT doc_id, start, stop FROM ph")(lambda s, d: H.sessions(notes(s, d)).select("doc_id", "start", P("end").alias("stop")))
 add("flt_phrase_len", f"WITH {_PHR} SELECT doc_id, count(*) AS phrases FROM ph GROUP BY 1")(lambda s, d: H.sessions(notes(s, d)).groupBy("doc_id").agg(F.count("*").alias("phrases")))

@@ -110,6 +110,15 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
 QUERIES["src_audio_corpus"] = lambda s, d: _corpus(s, d).filter("notes >= 8").select("id", F.array_join(F.transform("line", lambda x: x["pitch"].cast("string")), ",").alias("pitches"))
 QUERIES["agg_transcribe_stats"] = lambda s, d: tunes(s, d).select("id").join(_corpus(s, d), "id", "left").agg(
     F.count("*").alias("attempted"), F.count_if(F.col("notes").isNull()).alias("failed"), F.count_if(F.col("notes") < 8).alias("too_short"), F.round(F.avg("confidence"), 4).alias("mean_conf"), F.round(F.median("confidence"), 4).alias("median_conf"))
+# what is known of the tunes beforehand: their notes, their samples (0.38 s and a rest of 0.045 s a note) and how they are used
+_KNOWN = "WITH t AS (SELECT n_nationkey::INT AS id, list_transform(range(10), lambda i: 60 + (n_nationkey * 3 + i * i * 2 + i) % 13) AS pitches, 10 * (CAST(floor(0.38 * 22050) AS INT) + CAST(floor(0.045 * 22050) AS INT)) AS samples FROM nation)\n"
+SQL["src_audio_corpus"] = _KNOWN + "SELECT id, array_to_string(pitches, ',') AS pitches FROM t"
+SQL["win_note_segment"] = _KNOWN + "SELECT id, len(pitches)::INT AS notes FROM t"
+SQL["dsp_synth"] = _KNOWN + "SELECT id, samples::INT AS samples, 0.92::DOUBLE AS peak FROM t"
+SQL["sink_wav"] = _KNOWN + "SELECT id, (44 + 2 * samples)::INT AS size FROM t"
+SQL["src_audio"] = _KNOWN + "SELECT id, (2 * 10 * (CAST(floor(0.38 * 11025) AS INT) + CAST(floor(0.045 * 11025) AS INT)))::INT AS samples FROM t"
+SQL["dsp_separate"] = _KNOWN + "SELECT id, true AS same, 'no separator installed: the raw mix is used' AS reason FROM t"
+SQL["dsp_lead_signal"] = _KNOWN + "SELECT id, CASE WHEN list_median(list_transform(pitches, lambda p: p - 24)) < 55 THEN 'led by its bass' ELSE 'already in a melodic register' END AS reason FROM t"
 QUERIES["src_midi_events"] = lambda s, d: M.note_rows(files(s, d)).groupBy("path", "name").agg(F.count("*").alias("notes"), F.sum("pitch").alias("pitch_sum"), F.round(F.max("end"), 6).alias("end"))
 SQL["src_midi_events"] = f"""WITH {D}, x AS (SELECT doc_id::VARCHAR AS path, unnest(pitches) AS p, len(pitches) AS n FROM d)
 SELECT path, 'melody' AS name, count(*) AS notes, sum(p)::BIGINT AS pitch_sum, (n - 0.5)::DOUBLE AS end FROM x GROUP BY path, n
