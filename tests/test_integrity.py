@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from canzona.operators.hierarchy import descendants, hierarchy
 from canzona.operators.orphans import orphans
 
@@ -76,3 +78,22 @@ def test_orphans_against_brute_force(spark):
     assert orphans(r.limit(0), p, "key", "t", "a", "b").count() == 0
     assert {x.reason for x in orphans(r, p.limit(0), "key", "t", "a", "b").collect()} == {"missing"}
     assert {x.key for x in orphans(r, p, "key", "t").collect()} == {k for k, _, _ in refs if k is not None} - {x[0] for x in parents}
+
+
+def test_lists_that_grow_are_refused(spark):
+    from canzona.session import few
+
+    names = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "name string")
+    assert few(names, "name") == ["a", "b"]
+    with pytest.raises(ValueError):
+        few(names, "name", most=1)
+
+
+def test_katz_without_a_limit_is_told(spark):
+    from canzona.operators import graph
+
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    assert {r.node: round(r.score, 6) for r in graph.katz(ring, 0.1).collect()} == {"a": round(1 / 0.9, 6), "b": round(1 / 0.9, 6)}
+    with pytest.raises(ValueError):
+        graph.katz(ring, 1.5, rounds=8)
+    assert graph.katz(ring.limit(0)).count() == 0
