@@ -1,6 +1,7 @@
 """Hand-checked pages of the test tables: scale, doc_id, 1 for no prose or 0 for prose, and the page's quality.STATS.
 
-Read by eye, never trained on. CALIBRATION sets the probabilities, EVALUATION only measures them. The statistics can be taken
+Judged by eye, EVALUATION by the first 300 to 700 characters of each page; never trained on. CALIBRATION sets the probabilities,
+EVALUATION only measures them; its pages were seen before the weak labels were designed. The statistics can be taken
 again from the page of that id (`tests/llm/test_holdout.py` does).
 """
 
