@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canzona.llm.holdout import CALIBRATION
+from canzona.llm.holdout import CALIBRATION, EVALUATION
 from canzona.session import cut
 
 #: Pages that are weakly labelled, about, and of these the pages of each kind used for training, at most; chosen by hash of the id.
@@ -205,6 +205,8 @@ def trained(stats: DataFrame, train_rows: int = TRAIN_ROWS):
     share = F.col("prose_lines")
     label = F.when(share <= JUNK_LINES, 1).when(share >= PROSE_LINES, 0)
     labelled = stats.filter("words > 0").select(*STATS, label.alias("junk"), u.alias("u"), "rec").filter("junk is not null")
+    # the checked pages lie in the test tables themselves; they are kept from the trees, not only their labels
+    labelled = labelled.filter(~F.col("rec").isin([i for _, i, _, _ in CALIBRATION + EVALUATION]))
     rows = []
     for kind in (0, 1):
         # the labelled pages are few; the smallest hashes of each kind
